@@ -6,41 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankarena.functions.text import tokens
+from rankarena.sources.scratch import written
 
 Stemmer = Callable[[Column], Column]
 
 
-def term_arrays(sorted_tokens: Column) -> tuple[Column, Column]:
-    """Distinct terms of a sorted token array, and how often each occurs."""
-    size = F.size(sorted_tokens)
-    first_places = F.filter(
-        F.transform(
-            sorted_tokens,
-            lambda token, i: F.when((i == 0) | (token != F.get(sorted_tokens, i - 1)), i),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    ends = F.concat(F.slice(first_places, 2, F.greatest(F.size(first_places) - 1, F.lit(0))), F.array(size))
-    counts = F.zip_with(first_places, ends, lambda start, end: end - start)
-    return F.array_distinct(sorted_tokens), F.when(size > 0, counts).otherwise(F.array().cast("array<int>"))
-
-
 def forward_index(docs: DataFrame, *, stem: Stemmer | None = None) -> DataFrame:
     """Replace ``text`` by its sorted distinct ``terms``, their counts ``tfs``, and the length ``dl``.
 
-    Everything happens inside the row: no shuffle. Write the result to a table where several jobs need it.
+    Everything happens inside the row: no shuffle. A term's count is the distance from the place where it starts
+    among the sorted tokens to the place where the next one does.
     """
     words = tokens(F.col("text"))
     if stem is not None:
         words = F.transform(words, stem)
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.sort_array(words).alias("_tokens"))
-    terms, counts = term_arrays(F.col("_tokens"))
+    rows = docs.select(*rest, F.sort_array(words).alias("_tokens")).withColumn("_n", F.size("_tokens"))
+    no_ints = F.array().cast("array<int>")
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(no_ints)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("_tokens", i) != F.get("_tokens", i - 1)))
+    rows = rows.select(*rest, "_n", F.array_distinct("_tokens").alias("terms"), starts.alias("_starts"))
+    ends = F.concat(F.slice("_starts", 2, F.greatest("_n", F.lit(1))), F.array("_n"))
+    counts = F.zip_with("_starts", ends, lambda start, end: end - start)
     return rows.select(
-        *rest, terms.alias("terms"), counts.alias("tfs"), F.size("_tokens").cast("long").alias("dl")
+        *rest,
+        "terms",
+        F.when(F.col("_n") > 0, counts).otherwise(no_ints).alias("tfs"),
+        F.col("_n").cast("long").alias("dl"),
     )
 
 
+def stored_index(docs: DataFrame, *, stem: Stemmer | None = None) -> DataFrame:
+    """A :func:`forward_index` written to the shared folder.
+
+    Features need it several times. Stored, the texts are read and split into words once, and each step reads
+    only the columns it needs of a table that is much smaller than the texts.
+    """
+    return written(forward_index(docs, stem=stem), "index")
+
+
 def postings(index: DataFrame, keys: list[str]) -> DataFrame:
     """One row per document and term."""
     return index.select(*keys, F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(

@@ -23,8 +23,9 @@ def query(function: Query) -> Query:
 
 
 def _rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
-    # Adding zero turns a negative zero into a plain one.
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in names})
+    # Rounding to twelve digits first takes off the noise of the summation order, which decides exact halves;
+    # adding zero turns a negative zero into a plain one.
+    return df.withColumns({c: F.round(F.round(c, 12), digits) + F.lit(0.0) for c in names})
 
 
 # Identifiers and scalar functions
@@ -321,12 +322,12 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(terms.term_stats(terms.forward_index(_docs(spark, sf_dir)), []), ["idf"])
+    return _rounded(terms.term_stats(terms.stored_index(_docs(spark, sf_dir)), []), ["idf"])
 
 
 @query
 def scoped_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = terms.forward_index(_docs(spark, sf_dir))
+    index = terms.stored_index(_docs(spark, sf_dir))
     return _rounded(terms.term_stats(index, ["query_id", "round_number"]), ["idf"])
 
 

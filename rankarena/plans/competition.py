@@ -62,8 +62,12 @@ def entries(spark: SparkSession, sf_dir: str, *, authors: int = AUTHORS) -> Data
 
 
 def competition(spark: SparkSession, sf_dir: str, *, authors: int = AUTHORS) -> DataFrame:
-    """The competition table. Texts are joined last, so they are shuffled once."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """The competition table. Texts are joined last, so they are shuffled once.
+
+    They are the large side at any scale and never broadcast; a merge join also spreads them evenly over the
+    tasks, however few row groups their files have.
+    """
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").hint("merge")
     return (
         entries(spark, sf_dir, authors=authors)
         .join(queries_table(spark, sf_dir), "query_id")

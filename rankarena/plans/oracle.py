@@ -180,7 +180,8 @@ _NEURAL_CORPUS = _NEURAL.format("")
 _NEURAL_FIELD = _NEURAL.format("PARTITION BY query_id, round_number")
 
 _F = [f"f{i}" for i in range(1, 27)]
-_ROUNDED = ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in _F)
+# Rounding to twelve digits first takes off the noise of the summation order, which decides exact halves.
+_ROUNDED = ", ".join(f"round(round({f}, 12), 6) + 0.0 AS {f}" for f in _F)
 
 _TREES = """
 (CASE WHEN f22 <= 4.5 THEN (CASE WHEN f3 <= 60.5 THEN -0.5 ELSE 0.125 END)
@@ -319,15 +320,18 @@ SELECT docno, (CASE WHEN qrel = 1 THEN 'M' ELSE 'NM' END)
 FROM comp""",
     "log_softmax": """
 SELECT vec_id,
-       round(embedding[-1]::DOUBLE - ln(list_sum(list_transform(embedding::DOUBLE[], lambda x: exp(x)))), 6) + 0.0 AS score,
-       round(embedding[1]::DOUBLE, 6) + 0.0 AS single
+       round(round(embedding[-1]::DOUBLE - ln(list_sum(list_transform(embedding::DOUBLE[], lambda x: exp(x)))), 12), 6)
+         + 0.0 AS score,
+       round(round(embedding[1]::DOUBLE, 12), 6) + 0.0 AS single
 FROM embeddings""",
     "minmax_normalise": """
 SELECT o_orderkey, o_custkey,
-       round(CASE WHEN max(o_totalprice) OVER c = min(o_totalprice) OVER c THEN 0
-             ELSE (o_totalprice - min(o_totalprice) OVER c) / (max(o_totalprice) OVER c - min(o_totalprice) OVER c)
-             END, 6) + 0.0 AS score,
-       round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 6)
+       round(round(
+         CASE WHEN max(o_totalprice) OVER c = min(o_totalprice) OVER c THEN 0
+              ELSE (o_totalprice - min(o_totalprice) OVER c) / (max(o_totalprice) OVER c - min(o_totalprice) OVER c)
+              END, 12), 6) + 0.0 AS score,
+       round(round(
+         (o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 12), 6)
          + 0.0 AS overall
 FROM orders WINDOW c AS (PARTITION BY o_custkey)""",
     "token_budget": f"""
@@ -397,11 +401,11 @@ WITH {WIDE} SELECT docno, pos, ksrel FROM comp WHERE regexp_matches(pos::VARCHAR
 WITH {COMP}, {_features(_CORPUS_DOCS)} SELECT docno, dl::BIGINT AS dl, u::BIGINT AS unique_terms FROM dlen""",
     "term_stats": f"""
 WITH {COMP}, {_features(_CORPUS_DOCS)}
-SELECT term, df, cf::BIGINT AS cf, round(idf, 6) + 0.0 AS idf FROM st""",
+SELECT term, df, cf::BIGINT AS cf, round(round(idf, 12), 6) + 0.0 AS idf FROM st""",
     "scoped_term_stats": f"""
 WITH {COMP}, {_features(_FIELD_DOCS)}
 SELECT split_part(s, '/', 1) AS query_id, split_part(s, '/', 2)::INTEGER AS round_number, term, df,
-       cf::BIGINT AS cf, round(idf, 6) + 0.0 AS idf
+       cf::BIGINT AS cf, round(round(idf, 12), 6) + 0.0 AS idf
 FROM st""",
     "ltr_features_corpus": f"""
 WITH {COMP}, {_features(_CORPUS_DOCS)}, {_NEURAL_CORPUS}
@@ -412,10 +416,10 @@ SELECT feats.query_id, round_number, docno, {_ROUNDED} FROM feats JOIN scaled US
     "ltr_train_rows": f"""
 WITH {COMP}, {_features(_CORPUS_DOCS)}, {_NEURAL_CORPUS}
 SELECT concat_ws(' ', qrel, 'qid:' || feats.query_id,
-       {", ".join(f"'{f[1:]}:' || printf('%.6f', round({f}, 6) + 0.0)" for f in _F)}) || ' #' || feats.docno AS value
+       {", ".join(f"'{f[1:]}:' || printf('%.6f', round(round({f}, 12), 6) + 0.0)" for f in _F)}) || ' #' || feats.docno AS value
 FROM feats JOIN scaled USING (docno) JOIN comp USING (docno)""",
     "neural_feature": f"""
-WITH {COMP}, {_NEURAL_FIELD} SELECT docno, query_id, round_number, round(f26, 6) + 0.0 AS score FROM scaled""",
+WITH {COMP}, {_NEURAL_FIELD} SELECT docno, query_id, round_number, round(round(f26, 12), 6) + 0.0 AS score FROM scaled""",
     "ensemble_scores": f"""
 WITH {COMP}, {_features(_CORPUS_DOCS)}, {_NEURAL_CORPUS}
 SELECT feats.query_id, docno, {_TREES} AS score FROM feats JOIN scaled USING (docno)""",
