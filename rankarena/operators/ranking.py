@@ -8,6 +8,7 @@ from rankarena.functions.text import within_word_limit
 from rankarena.operators.ensemble import score_ensemble
 from rankarena.operators.features import ltr_features
 from rankarena.operators.ordinals import HOT_ROWS, with_ordinal
+from rankarena.operators.terms import TermIndex
 
 FIELD = ["query_id", "round_number"]
 EPOCH_FIELD = ["query_id", "epoch", "bot"]
@@ -38,6 +39,7 @@ def rank_fields(
     model: DataFrame,
     scores: DataFrame | None = None,
     scope_cols: list[str] | None = None,
+    index: TermIndex | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rank the documents of every field in one job.
@@ -45,7 +47,9 @@ def rank_fields(
     Statistics and scaling cover one field each, the way a field is ranked on its own.
     """
     scope_cols = list(FIELD if scope_cols is None else scope_cols)
-    features = ltr_features(docs=docs, queries=queries, scores=scores, scope_cols=scope_cols, mode="test")
+    features = ltr_features(
+        docs=docs, queries=queries, scores=scores, scope_cols=scope_cols, mode="test", index=index
+    )
     scored = score_ensemble(features, model, keep=[*scope_cols, "docno"])
     return rank_by_score(scored, scope_cols=scope_cols, sizes_from=docs, hot_rows=hot_rows)
 

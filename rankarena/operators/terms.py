@@ -1,6 +1,7 @@
 """Term counts of documents, and term statistics of a corpus or of each field."""
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +37,6 @@ def forward_index(docs: DataFrame, *, stem: Stemmer | None = None) -> DataFrame:
     )
 
 
-def stored_index(docs: DataFrame, *, stem: Stemmer | None = None) -> DataFrame:
-    """A :func:`forward_index` written to the shared folder.
-
-    Features need it several times. Stored, the texts are read and split into words once, and each step reads
-    only the columns it needs of a table that is much smaller than the texts.
-    """
-    return written(forward_index(docs, stem=stem), "index")
-
-
 def postings(index: DataFrame, keys: list[str]) -> DataFrame:
     """One row per document and term."""
     return index.select(*keys, F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(
@@ -84,3 +76,28 @@ def query_terms(queries: DataFrame, *, stem: Stemmer | None = None) -> DataFrame
     if stem is not None:
         words = F.transform(words, stem)
     return queries.select("query_id", F.array_distinct(words).alias("qterms"))
+
+
+@dataclass(frozen=True)
+class TermIndex:
+    """Stored term counts of documents and stored term statistics of their scopes.
+
+    ``documents`` is a :func:`forward_index`, ``terms`` its :func:`term_stats`.
+    """
+
+    documents: DataFrame
+    terms: DataFrame
+    scope_cols: list[str] = field(default_factory=list)
+    stem: Stemmer | None = None
+
+
+def build_index(docs: DataFrame, *, scope_cols: list[str] | None = None, stem: Stemmer | None = None) -> TermIndex:
+    """Write the index of ``docs`` to the shared folder.
+
+    Features read both tables several times. Stored, the texts are split into words once, each step reads only
+    the columns it needs, and the planner knows how large the statistics are when it joins them.
+    """
+    scope_cols = list(scope_cols or [])
+    documents = written(forward_index(docs, stem=stem), "index-documents")
+    terms = written(term_stats(documents, scope_cols), "index-terms")
+    return TermIndex(documents=documents, terms=terms, scope_cols=scope_cols, stem=stem)

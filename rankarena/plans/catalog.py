@@ -322,13 +322,12 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(terms.term_stats(terms.stored_index(_docs(spark, sf_dir)), []), ["idf"])
+    return _rounded(terms.build_index(_docs(spark, sf_dir)).terms, ["idf"])
 
 
 @query
 def scoped_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = terms.stored_index(_docs(spark, sf_dir))
-    return _rounded(terms.term_stats(index, ["query_id", "round_number"]), ["idf"])
+    return _rounded(terms.build_index(_docs(spark, sf_dir), scope_cols=ranking.FIELD).terms, ["idf"])
 
 
 @query
