@@ -39,8 +39,8 @@ def forward_index(docs: DataFrame, *, stem: Stemmer | None = None) -> DataFrame:
 
 def postings(index: DataFrame, keys: list[str]) -> DataFrame:
     """One row per document and term."""
-    return index.select(*keys, F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(
-        *keys, F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")
+    return index.select(*keys, "tfs", F.posexplode("terms").alias("place", "term")).select(
+        *keys, "term", F.get("tfs", F.col("place")).alias("tf")
     )
 
 

@@ -9,6 +9,8 @@ SETTINGS = {
     # Hash the smaller side of a shuffled join instead of sorting both, where each of its partitions, as measured
     # after the shuffle, is small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Rows of features are small but costly: small partitions are worth a task of their own.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
