@@ -68,16 +68,18 @@ def improvement_pairs(
     then the one with the lowest docno.
     """
     rows = deltas.where(improved())
-    earlier = deltas.groupBy(*ENTRY).agg(F.min_by("text", F.struct("pos", "docno")).alias("completion"))
+    completion = F.min_by("text", F.struct("pos", "docno")).alias("completion")
     if match_lag:
         steps = F.array(*[F.when(F.col(delta_name(k)) > 0, F.lit(k)) for k in LAGS])
         rows = rows.withColumn("_lag", F.explode(F.array_compact(steps)))
-        earlier = earlier.withColumn("_from", F.col("round_number")).drop("round_number")
-        rows = rows.withColumn("_from", F.col("round_number") - F.col("_lag")).drop("_lag")
-        pairs = rows.join(earlier, ["query_id", "author_id", "_from"]).drop("_from")
+        rows = rows.withColumn("_from", F.col("round_number") - F.col("_lag"))
+        earlier = deltas.withColumnRenamed("round_number", "_from")
+        key = ["query_id", "author_id", "_from"]
     else:
-        earlier = earlier.withColumn("round_number", F.col("round_number") + 1)
-        pairs = rows.join(earlier, ENTRY)
+        # Shifted before they are grouped, so that the join finds the texts where the grouping left them.
+        earlier = deltas.withColumn("round_number", F.col("round_number") + 1)
+        key = ENTRY
+    pairs = rows.join(earlier.groupBy(*key).agg(completion), key)
     pairs = pairs.select(*deltas.columns, "completion")
     kept = _one_per_pair(pairs, lowest=F.struct(-F.col("delta"), "docno"))
     return _with_prompt(kept, clean_all=clean_all, direction=direction)

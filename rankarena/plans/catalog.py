@@ -2,12 +2,13 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankarena import schema
 from rankarena.functions import ids, scores, text
-from rankarena.operators import corpus, ensemble, features, pairs, prompts, ranking, rounds, terms
+from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, terms
 from rankarena.plans import competition as arena
 from rankarena.sources import sinks, tables, trec
 from rankarena.sources.scratch import scratch_path
@@ -293,6 +294,13 @@ def top_pairs_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.top_pairs(wide, legacy=True, direction="worse_to_better")
 
 
+@query
+def finetune_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = arena.competition(spark, sf_dir)
+    cleaned = text.remove_backslashes(F.col("text"))
+    return rows.select("docno", text.fine_tune_prompt(cleaned, F.col("query")).alias("prompt"))
+
+
 @query
 def near_top_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = arena.entries(spark, sf_dir, authors=arena.WIDE_AUTHORS)
@@ -366,11 +374,40 @@ def neural_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scored, ["score"])
 
 
+def _ensemble_scores(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    rows = _corpus_features(spark, sf_dir)
+    model = arena.example_model(spark)
+    return ensemble.score_ensemble(rows, model, keep=["query_id", "docno"], strategy=strategy)
+
+
 @query
 def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensemble.score_ensemble(
-        _corpus_features(spark, sf_dir), arena.example_model(spark), keep=["query_id", "docno"]
-    )
+    return _ensemble_scores(spark, sf_dir, "auto")
+
+
+@query
+def ensemble_scores_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensemble_scores(spark, sf_dir, "arrays")
+
+
+@query
+def ensemble_scores_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensemble_scores(spark, sf_dir, "joins")
+
+
+@query
+def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def load_vowel_scorer() -> neural.Scorer:
+        """Stands in for a model: two logits, the second one is the share of vowels in query and text."""
+
+        def score(queries: list[str], texts: list[str]) -> np.ndarray:
+            inputs = [q + t for q, t in zip(queries, texts, strict=True)]
+            return np.array([[0.0, sum(map(i.count, "aeiou")) / len(i)] for i in inputs])
+
+        return score
+
+    pairs_of = neural.query_document_pairs(_docs(spark, sf_dir), arena.queries_table(spark, sf_dir))
+    return _rounded(neural.neural_scores(pairs_of, load_vowel_scorer, keep=["docno"]), ["score"])
 
 
 @query

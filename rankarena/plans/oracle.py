@@ -292,6 +292,11 @@ SELECT m.*, (row_number() OVER (PARTITION BY m.query_id, epoch ORDER BY {_TEXT_T
 FROM members m JOIN feats ON feats.docno = m.query_id || '/' || epoch || '/' || author_id"""
 
 
+_ENSEMBLE_SCORES = f"""
+WITH {COMP}, {_features(_CORPUS_DOCS)}, {_NEURAL_CORPUS}
+SELECT feats.query_id, docno, {_TREES} AS score FROM feats JOIN scaled USING (docno)"""
+
+
 SQL: dict[str, str] = {
     "decode_docno": f"WITH {COMP} SELECT docno, round_number, query_id, author_id FROM comp",
     "canonical_ids": """
@@ -395,6 +400,8 @@ FROM comp GROUP BY ALL""",
     "improvement_pairs_match_lag": _improvement_pairs_match_lag(),
     "top_pairs": _top_pairs(COMP, "pos <= 4", swapped=False),
     "top_pairs_legacy": _top_pairs(WIDE, "regexp_matches(pos::VARCHAR, '1|2|3|4')", swapped=True),
+    "finetune_prompts": f"""
+WITH {COMP} SELECT docno, {_filled(FINE_TUNE_PROMPT, "query", "replace(text, chr(92), '')")} AS prompt FROM comp""",
     "near_top_legacy": f"""
 WITH {WIDE} SELECT docno, pos, ksrel FROM comp WHERE regexp_matches(pos::VARCHAR, '1|2|3|4') AND ksrel <> 3""",
     "doc_lengths": f"""
@@ -420,9 +427,15 @@ SELECT concat_ws(' ', qrel, 'qid:' || feats.query_id,
 FROM feats JOIN scaled USING (docno) JOIN comp USING (docno)""",
     "neural_feature": f"""
 WITH {COMP}, {_NEURAL_FIELD} SELECT docno, query_id, round_number, round(round(f26, 12), 6) + 0.0 AS score FROM scaled""",
-    "ensemble_scores": f"""
-WITH {COMP}, {_features(_CORPUS_DOCS)}, {_NEURAL_CORPUS}
-SELECT feats.query_id, docno, {_TREES} AS score FROM feats JOIN scaled USING (docno)""",
+    "ensemble_scores": _ENSEMBLE_SCORES,
+    "ensemble_scores_arrays": _ENSEMBLE_SCORES,
+    "ensemble_scores_joins": _ENSEMBLE_SCORES,
+    "neural_scores": f"""
+WITH {COMP}, shares AS (
+  SELECT docno, (length(query || text) - length(regexp_replace(query || text, '[aeiou]', '', 'g')))::DOUBLE
+         / length(query || text) AS x
+  FROM comp)
+SELECT docno, round(round(x - ln(1 + exp(x)), 12), 6) + 0.0 AS score FROM shares""",
     "rank_fields": f"""
 WITH {COMP}, {_features(_FIELD_DOCS)}, {_NEURAL_FIELD}
 SELECT feats.query_id, round_number, docno, {_TREES} AS score,

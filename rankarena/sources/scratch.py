@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; a temporary one is made only where it is unset,
-    which is right for a single machine alone.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a session on a single machine may go without:
+    it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="rankarena-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
