@@ -122,6 +122,22 @@ def test_rank_fields_gives_permutations_and_breaks_ties(spark):
     ]
 
 
+def test_rank_fields_with_a_hot_field(spark):
+    docs = spark.range(600).select(
+        F.format_string("d%04d", "id").alias("docno"),
+        F.when(F.col("id") % 3 == 0, "001").otherwise(F.format_string("%03d", F.col("id") % 50 + 2)).alias("query_id"),
+        F.lit(0).alias("round_number"),
+        F.repeat(F.lit("one two "), (F.col("id") % 4).cast("int")).alias("text"),
+    )
+    queries = docs.select("query_id", F.lit("two").alias("query")).distinct()
+    plain, cut = (
+        ranking.rank_fields(docs=docs, queries=queries, model=length_model(spark), hot_rows=h) for h in (10**6, 50)
+    )
+    found = rows(cut, "query_id", "docno", "rank")
+    assert found == rows(plain, "query_id", "docno", "rank")
+    assert sorted(r for q, _, r in found if q == "001") == list(range(1, 201))
+
+
 def test_epoch_step(spark):
     field = spark.createDataFrame(
         [
