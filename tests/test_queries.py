@@ -3,7 +3,9 @@
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from rankarena.plans.catalog import QUERIES
+from rankarena.plans.oracle import SQL
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,13 +15,13 @@ def duck():
     return check.duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, duck, name):
     assert check.difference(spark, duck, SF_DIR, name) is None
 
 
 def test_every_query_has_a_twin():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == SQL.keys()
 
 
 def test_entry(spark):
@@ -34,17 +36,17 @@ def plan(df):
 
 @pytest.mark.parametrize("name", ["rank_deltas", "improvement_pairs", "top_pairs", "rank_fields", "history_prompts_all"])
 def test_plans_stay_native_and_without_products(spark, name):
-    text = plan(queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "PythonUDF"):
         assert operator not in text
 
 
 def test_scans_read_only_what_is_needed(spark):
-    text = plan(queries()["rank_deltas"](spark, SF_DIR))
+    text = plan(QUERIES["rank_deltas"](spark, SF_DIR))
     assert "text" not in text.split("== Physical Plan ==")[1].split("ReadSchema")[1]
 
 
 def test_deltas_have_no_window_per_author(spark):
-    text = plan(queries()["rank_deltas"](spark, SF_DIR)).split("== Physical Plan ==")[1]
+    text = plan(QUERIES["rank_deltas"](spark, SF_DIR)).split("== Physical Plan ==")[1]
     # The windows left are those that lay out the test competition, field by field.
     assert text.count("windowspecdefinition(") == text.count("windowspecdefinition(round_no") > 0
