@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankarena.llm import bpe, decontaminate, exact_dedup, language_id, secrets, warc
+from rankarena.llm import bpe, decontaminate, exact_dedup, language_id, quality, secrets, warc
 from rankarena.sources.scratch import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_language_id": op4_language_id,
@@ -57,6 +61,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
