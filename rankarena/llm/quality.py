@@ -28,7 +28,7 @@ from rankarena.sources.scratch import written
 
 ORDER = 5
 #: Bytes of text that are scored together.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
 QUANTILE = 0.99
 #: How much more than the quantile, as a share of the perplexity.
 MARGIN = 0.10
@@ -90,7 +90,7 @@ def gram_counts(docs: DataFrame, *, text_col: str = "text", order: int = ORDER)
 
 def model_levels(trusted: DataFrame, *, order: int = ORDER) -> DataFrame:
     """(k, g, c): counts by order; raw ones for the highest and left extensions for the others."""
-    level = gram_counts(trusted, order=order).groupBy("g").agg(F.sum("c").alias("c"))
+    level = written(gram_counts(trusted, order=order).groupBy("g").agg(F.sum("c").alias("c")), "ngram-counts")
     levels = level.select(F.lit(order).alias("k"), "g", "c")
     for k in range(order - 1, 0, -1):
         shorter = F.col("g").bitwiseAND((1 << 8 * k) - 1)
@@ -137,7 +137,7 @@ def log_probabilities(grams: DataFrame, levels: DataFrame, *, order: int = ORDER
         own = F.coalesce(F.col("c") - discount, F.lit(0.0))
         p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((own + F.col("left") * F.col("lower")) / F.col("total"))
         below = asked.join(counts, "g", "left").join(contexts, "h", "left").select("g", p.alias("p"))
-    return below.select("g", F.log("p").alias("logp"))
+    return below.select("g", F.log("p").cast("float").alias("logp"))
 
 
 def with_trust(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -162,7 +162,7 @@ def perplexities(
     left_out = F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(CALIBRATION_FOLDS)) == 0
     levels = model_levels(base.where(F.col("trusted") & ~left_out).select("text"), order=order)
     grams = gram_counts(docs, text_col=f"`{text_col}`", order=order).groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
-    logs = written(log_probabilities(grams, levels, order=order), "ngram-logs")
+    logs = written(log_probabilities(written(grams, "ngrams"), levels, order=order), "ngram-logs")
 
     total = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
     shards = 1 + total // shard_bytes
@@ -189,7 +189,7 @@ def perplexities(
     out_type = f"row {dealt.schema['row'].dataType.simpleString()}, lang string, bytes bigint, perplexity double, calibrates boolean"
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        keys, logp = known.column("g").to_numpy(), known.column("logp").to_numpy()
+        keys, logp = known.column("g").to_numpy(), known.column("logp").to_numpy().astype(np.float64)
         by_key = np.argsort(keys)
         keys, logp = keys[by_key], logp[by_key]
         found, sizes = [], [np.zeros(0, np.int64)]
