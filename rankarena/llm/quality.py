@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ CALIBRATION_FOLDS = 4
 BROADCAST_ROWS = 1_000_000
 _BINS = 1000.0
 _PENDING = 1 << 21
+_PIECE_BODIES = 1 << 18
 
 
 def grams_of(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -53,6 +55,23 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.nd
     return grams
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the last column, ``text``; what is shuffled shrinks more than by the shuffle's own compression."""
+    for batch in batches:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        bodies = [None if t is None else pack(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.binary())], [*batch.schema.names[:-1], "body"])
+
+
+def unpacked(table: pa.Table) -> Iterator[pa.Array]:
+    """The texts of ``body``, some rows at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in table.select(["body"]).to_batches():
+        for piece in pieces(batch, "body", _PIECE_BODIES):
+            texts = [None if b is None else unpack(b) for b in piece.column("body").to_pylist()]
+            yield pa.array(texts, pa.binary()).cast(pa.string())
+
+
 class Counter:
     """Counts of numbers; what is added is merged from time to time."""
 
@@ -153,9 +172,12 @@ def with_trust(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", la
 
 def perplexities(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    label_col: str = "quality", keep: list[str] | None = None, order: int = ORDER, shard_bytes: int = SHARD_BYTES
+    label_col: str = "quality", keep_text: bool = True, order: int = ORDER, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
-    """For each row: ``row`` (its columns, or those in ``keep``), ``lang``, ``bytes``, ``perplexity``, ``calibrates``."""
+    """For each row: ``row`` (all columns but the text), ``text``, ``lang``, ``bytes``, ``perplexity``, ``calibrates``.
+
+    The perplexity is one of bytes. Without ``keep_text`` the text is null.
+    """
     base = with_trust(docs, labels, id_col=id_col, label_col=label_col).select(
         "*", F.col(f"row.`{text_col}`").alias("text"), F.col(f"row.`{lang_col}`").cast("string").alias("lang")
     )
@@ -166,51 +188,50 @@ def perplexities(
 
     total = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
     shards = 1 + total // shard_bytes
-    columns = docs.columns if keep is None else keep
-    dealt = base.select(
+    rows = base.select(
         F.pmod(F.xxhash64(F.col(f"row.`{id_col}`"), F.col("text")), F.lit(shards)).alias("shard"),
-        F.struct(*[F.col(f"row.`{c}`") for c in columns]).alias("row"),
-        "text",
+        F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col]).alias("row"),
         "lang",
         (F.col("trusted") & left_out).alias("calibrates"),
-    ).repartition(int(shards), "shard")
+        "text",
+    )
+    row_type = rows.schema["row"].dataType.simpleString()
+    dealt = rows.mapInArrow(packed, f"shard bigint, row {row_type}, lang string, calibrates boolean, body binary")
+    dealt = dealt.repartition(int(shards), "shard")
 
     def ask(table: pa.Table) -> pa.Table:
         found = Counter()
-        for batch in table.select(["text"]).to_batches():
-            for piece in pieces(batch, "text"):
-                found.add(grams_of(*text_bytes(piece.column("text")), order))
+        for texts in unpacked(table):
+            found.add(grams_of(*text_bytes(texts), order))
         found.merge()
         shard = pa.repeat(table.column("shard")[0], len(found.keys))
         return pa.Table.from_arrays([shard, pa.array(found.keys)], ["shard", "g"])
 
     asked = dealt.groupBy("shard").applyInArrow(ask, "shard bigint, g bigint")
     answers = asked.join(logs, "g").select("shard", "g", "logp")
-    out_type = f"row {dealt.schema['row'].dataType.simpleString()}, lang string, bytes bigint, perplexity double, calibrates boolean"
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
         keys, logp = known.column("g").to_numpy(), known.column("logp").to_numpy().astype(np.float64)
         by_key = np.argsort(keys)
         keys, logp = keys[by_key], logp[by_key]
-        found, sizes = [], [np.zeros(0, np.int64)]
-        for batch in table.select(["text"]).to_batches():
-            for piece in pieces(batch, "text"):
-                data, offsets = text_bytes(piece.column("text"))
-                size = np.diff(offsets)
-                sizes.append(size)
-                if not len(data):
-                    found.append(np.full(len(piece), np.nan))
-                    continue
-                sums = np.concatenate(([0.0], np.cumsum(logp[np.searchsorted(keys, grams_of(data, offsets, order))])))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    found.append(np.exp(-np.diff(sums[offsets]) / size))
-        values = np.concatenate(found) if found else np.zeros(0)
+        found, sizes, kept = [np.zeros(0)], [np.zeros(0, np.int64)], []
+        for texts in unpacked(table):
+            kept.append(texts)
+            data, offsets = text_bytes(texts)
+            sizes.append(np.diff(offsets))
+            logs = logp[np.searchsorted(keys, grams_of(data, offsets, order))] if len(data) else np.zeros(0)
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                found.append(np.exp(-np.diff(sums[offsets]) / sizes[-1]))
+        values = np.concatenate(found)
+        texts = pa.chunked_array(kept, pa.string()) if keep_text else pa.nulls(len(values), pa.string())
         return pa.Table.from_arrays(
-            [table.column("row"), table.column("lang"), pa.array(np.concatenate(sizes)),
+            [table.column("row"), texts, table.column("lang"), pa.array(np.concatenate(sizes)),
              pa.array(values, mask=np.isnan(values)), table.column("calibrates")],
-            ["row", "lang", "bytes", "perplexity", "calibrates"],
+            ["row", "text", "lang", "bytes", "perplexity", "calibrates"],
         )
 
+    out_type = f"row {row_type}, text string, lang string, bytes bigint, perplexity double, calibrates boolean"
     return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, out_type)
 
 
@@ -250,13 +271,13 @@ def judged(scored: DataFrame, *, quantile: float = QUANTILE, margin: float = MAR
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One narrow row per row of ``docs``: identifier, language, ``perplexity``, ``threshold`` and ``kept``."""
     narrow = docs.select(id_col, lang_col, text_col)
-    scored = perplexities(narrow, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=[id_col])
-    scored = written(scored, "perplexities")
+    scored = perplexities(narrow, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, keep_text=False)
+    scored = written(scored.drop("text"), "perplexities")
     return judged(scored).select(F.col(f"row.`{id_col}`").alias(id_col), "lang", "perplexity", "threshold", "kept")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **columns: str) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns."""
-    scored = written(perplexities(docs, labels, **columns), "perplexities")
-    return judged(scored).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-
+    scored = written(perplexities(docs, labels, text_col=text_col, **columns), "perplexities")
+    stay = judged(scored).where("kept")
+    return stay.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
