@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankarena.llm import bpe, decontaminate, exact_dedup, language_id, quality, secrets, warc
+from rankarena.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, secrets, warc
 from rankarena.sources.scratch import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).drop("probabilities", "positions")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -57,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_language_id": op4_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secrets": op8_secrets,
