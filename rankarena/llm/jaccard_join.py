@@ -4,14 +4,17 @@ The links are entries of a sparse product: the document by shingle incidence mat
 out in blocks, and only blocks that can hold a link are formed.
 
 1. Documents with equal sets are one class; from here on each class counts once.
-2. Sizes bound the difference of two linked sets (3/37 of both sizes together, at a similarity of 0.85), so if the
-   shingles are dealt into more segments than that, two linked sets agree on a whole segment. Each class has a signature
-   for each of its segments, for sizes like its own and for the next larger ones. A segment mixes shingles from all over
-   a text, so a line or passage that many documents share gives no common segment. A segment that neither set has
-   anything in proves nothing, so there are spare segments; a class with more empty segments than spare ones has
-   signatures for these, too. Classes with a common signature are tied to the least of them, first within a task and
-   then between tasks, so a signature that very many classes have is sent once a task. The components of these ties
-   hold all links.
+2. Sizes bound the difference of two linked sets (3/37 of both sizes together, at a similarity of 0.85). The shingles
+   are dealt into segments. As each shingle that differs spoils one segment, a set with more filled segments than may
+   differ agrees with any set it is linked with on a filled one, whatever that other set is like. Each class has a
+   signature for each filled segment, for sizes like its own and for the next larger ones. Common shingles are left
+   out, so a line or passage that many documents share makes no common segment. Classes that have too few filled
+   segments then also take smaller segments, next the common shingles too, and at last the empty segments; each step
+   is one that the class itself sees the need for, and where neither of a linked pair does, the step before has tied
+   them. So any set of shingles may be called common. Here it is those that are seen often within a task, the
+   ``HOT_SHINGLES`` most frequent ones at most. Classes with a common signature are tied to the least of them, first
+   within a task and then between tasks, so a signature that very many classes have is sent once a task. The components
+   of these ties hold all links.
 3. Each component is cut into blocks of bounded size, and each block's product is accumulated over blocks of columns;
    pairs that can't reach the overlap that their sizes ask for are discarded on the way. A component of several blocks
    first links within blocks, then between one class of each group found so far. Where several groups remain, the
@@ -41,8 +44,12 @@ SHINGLE_WORDS = 4
 #: Similarity that links, as a fraction.
 SIMILARITY = Fraction(85, 100)
 #: Classes and shingles in a block of a product; a longer document makes a block of its own.
-BLOCK_CLASSES = 256
+BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 400_000
+#: A shingle is common if some tasks see it so often each, and together so often; so many at most (8 bytes each).
+HOT_IN_TASK = 3
+HOT_COUNT = 48
+HOT_SHINGLES = 1_000_000
 _COLUMNS = 4096
 _FLUSH = 1 << 21
 _BUCKET = 1 << 21
@@ -53,21 +60,17 @@ WORD_BYTES[0x20] = WORD_BYTES[0x09:0x0E] = False
 
 
 class Sizes:
-    """Intervals of set sizes, such that linked sets are in the same or in neighbouring ones, and their segments."""
+    """Intervals of set sizes, such that linked sets are in the same or in neighbouring ones."""
 
     def __init__(self, similarity: Fraction) -> None:
-        self.similarity = similarity
-        first, starts, segments, spare = 1, [], [], []
+        first, starts, differ = 1, [], []
         while first < 1 << 40:
             last = int(first / similarity)
-            # |a| + |b| - 2 |a & b| for sets of up to ``last`` each.
-            differ = int(2 * last * (1 - similarity) / (1 + similarity))
-            extra = 1 + differ // 25 if differ else 0
             starts.append(first)
-            segments.append(differ + 1 + extra)
-            spare.append(extra)
+            # How many shingles two linked sets of up to ``last`` each may have apart: |a| + |b| - 2 |a & b|.
+            differ.append(int(2 * last * (1 - similarity) / (1 + similarity)))
             first = last + 1
-        self.starts, self.segments, self.spare = np.array(starts), np.array(segments), np.array(spare)
+        self.starts, self.differ = np.array(starts), np.array(differ)
 
     def interval(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, size, side="right") - 1
@@ -99,30 +102,52 @@ def classes_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mixed(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of all rows that have shingles."""
+def _segments(
+    sets: np.ndarray, owner: np.ndarray, rows: np.ndarray, count: np.ndarray, tag: np.ndarray, empty_up_to: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the filled segments of ``rows``, the row of each, and how many each row has.
+
+    ``count`` and ``tag`` are by row: the number of its segments, and what its signatures are for. Rows with no more
+    filled segments than ``empty_up_to`` have signatures for empty segments, too.
+    """
+    count = np.where(rows, count, 0)
+    inside = rows[owner]
+    sets, owner = sets[inside], owner[inside]
+    base = np.cumsum(count) - count
+    at = base[owner] + ((sets >> np.uint64(16)) % count[owner].astype(np.uint64)).astype(np.int64)
+    total = int(count.sum())
+    sums = np.zeros(total, np.uint64)
+    np.add.at(sums, at, mixed(sets ^ np.uint64(0x5851F42D4C957F2D)))
+    used = np.bincount(at, minlength=total) > 0
+    of = np.repeat(np.arange(len(count)), count)
+    filled = np.bincount(of[used], minlength=len(count))
+    if empty_up_to is not None:
+        used |= (filled <= empty_up_to)[of]
+    key = mixed((tag[of] << 40 | (np.arange(total) - base[of])).astype(np.uint64))
+    return mixed(sums + key)[used], of[used], filled
+
+
+def signatures(sets: np.ndarray, offsets: np.ndarray, sizes: Sizes, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of all rows that have shingles; ``hot`` has the common shingles, sorted."""
     size = np.diff(offsets)
-    rows = np.flatnonzero(size)
     owner = np.repeat(np.arange(len(size)), size)
-    values = mixed(sets ^ np.uint64(0x5851F42D4C957F2D))
-    found, owners = [], []
+    rare = np.ones(len(sets), bool)
+    if len(hot):
+        rare = hot[np.minimum(np.searchsorted(hot, sets), len(hot) - 1)] != sets
+    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for up in (0, 1):
         interval = sizes.interval(np.maximum(size, 1)) + up
-        segments = np.where(size > 0, sizes.segments[interval], 0)
-        base = np.cumsum(segments) - segments
-        at = base[owner] + ((sets >> np.uint64(16)) % segments[owner].astype(np.uint64)).astype(np.int64)
-        total = int(segments.sum())
-        sums = np.zeros(total, np.uint64)
-        np.add.at(sums, at, values)
-        filled = np.bincount(at, minlength=total) > 0
-        of = np.repeat(np.arange(len(size)), segments)
-        empty = np.bincount(of[~filled], minlength=len(size))
-        used = filled | (empty > sizes.spare[interval])[of]
-        place = np.arange(total) - base[of]
-        key = mixed((interval[of] << 40 | place).astype(np.uint64))
-        found.append(mixed(sums + key)[used])
-        owners.append(of[used])
-    return (np.concatenate(found), np.concatenate(owners)) if len(rows) else (np.zeros(0, np.uint64), rows)
+        differ = sizes.differ[interval]
+        few = size > 0
+        for step, (values, of, count) in enumerate(
+            ((sets[rare], owner[rare], 1 + differ + differ // 5), (sets[rare], owner[rare], 1 + 4 * differ), (sets, owner, 1 + differ + differ // 5))
+        ):
+            if few.any():
+                key, row, filled = _segments(values, of, few, count, interval << 2 | step, differ if step == 2 else None)
+                found.append(key)
+                owners.append(row)
+                few = few & (filled <= differ)
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def _ties(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,26 +165,66 @@ def _rows(**columns: np.ndarray | list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in columns.items()})
 
 
+class _Seen:
+    """How often shingles are seen; once there are too many, those seen least are forgotten."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        if sum(map(len, self.waiting)) > _FLUSH:
+            self.merge()
+
+    def merge(self) -> None:
+        new, counts = np.unique(np.concatenate([self.keys[:0], *self.waiting]), return_counts=True)
+        keys, place = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
+        counts = np.bincount(place, np.concatenate((self.counts, counts)), len(keys)).astype(np.int64)
+        least = 1
+        while (counts >= least).sum() > _FLUSH:
+            least += 1
+        self.keys, self.counts, self.waiting = keys[counts >= least], counts[counts >= least], []
+
+
 def class_table(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, h, n, cls) for each row: a hash of its text, the size of its set and, if it has one, its class."""
+    """(id, h, n, cls) for each row: a hash of its text, the size of its set and, if it has one, its class.
+
+    Rows of a negative ``n`` are no documents: ``h`` is a shingle that a task has seen in -n of them.
+    """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    names = ["id", "h", "n", "cls"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 sets, offsets = shingle_sets(piece.column("text"), words)
                 size = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), piece.column("h"), pa.array(size), pa.array(classes_of(sets, offsets), mask=size == 0)],
-                    ["id", "h", "n", "cls"],
-                )
+                seen.add(sets)
+                classes = pa.array(classes_of(sets, offsets), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("h"), pa.array(size), classes], names)
+        seen.merge()
+        often = seen.counts >= HOT_IN_TASK
+        keys, counts = seen.keys[often].view(np.int64), -seen.counts[often]
+        for start in range(0, len(keys), 1 << 17):
+            part = slice(start, start + (1 << 17))
+            none = pa.nulls(len(keys[part]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(keys[part]), pa.array(counts[part]), none], names)
 
     return rows.mapInArrow(run, "id bigint, h bigint, n bigint, cls bigint")
 
 
-def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes, buckets: int) -> DataFrame:
+def hot_shingles(table: DataFrame) -> np.ndarray:
+    """The most frequent of the shingles that tasks have seen often; their number is bounded, so they can be sent around."""
+    counts = table.where("n < 0").groupBy("h").agg(F.sum(-F.col("n")).alias("count")).where(F.col("count") >= HOT_COUNT)
+    top = counts.orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().view(np.uint64))
+
+
+def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes, hot: np.ndarray, buckets: int) -> DataFrame:
     """Edges (u, v) between classes; classes with a common signature are connected by them."""
     schema = "bucket bigint, a binary, b binary"
+    hot_set = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -185,7 +250,7 @@ def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes,
                 once[np.unique(cls, return_index=True)[1]] = True
                 size = np.where(once, np.diff(offsets), 0)
                 chosen = sets[np.repeat(once, np.diff(offsets))]
-                key, row = signatures(chosen, np.concatenate(([0], np.cumsum(size))), sizes)
+                key, row = signatures(chosen, np.concatenate(([0], np.cumsum(size))), sizes, hot_set.value)
                 keys.append(key)
                 nodes.append(cls[row])
                 if sum(map(len, keys)) >= _FLUSH:
@@ -286,9 +351,13 @@ def jaccard_groups(
 ) -> DataFrame:
     """One row per row of ``docs``: identifier, ``n_shingles`` and ``component_id``."""
     sizes = Sizes(similarity)
-    members = written(class_table(docs, id_col=id_col, text_col=text_col, words=words), "classes")
+    table = written(class_table(docs, id_col=id_col, text_col=text_col, words=words), "classes")
+    members = table.where("n >= 0")
     total = members.agg(F.sum("n")).first()[0] or 0
-    ties = candidate_ties(docs, text_col=text_col, words=words, sizes=sizes, buckets=1 + int(total * 0.4) // _BUCKET)
+    ties = candidate_ties(
+        docs, text_col=text_col, words=words, sizes=sizes, hot=hot_shingles(table), buckets=1 + int(total * 0.5) // _BUCKET
+    )
+    ties = written(ties, "ties")
     near = written(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
 
     # One row for each class that may have links, and how many blocks its component takes.
