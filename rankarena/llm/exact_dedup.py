@@ -109,6 +109,16 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def without_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay. Identifiers must tell rows apart; rows that share one stay or go together."""
-    kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of ``docs`` that stay, one of each text. Rows with an identifier of their own move nowhere."""
+    flags = written(exact_duplicates(docs, id_col=id_col, text_col=text_col), "flags")
+    by_id = flags.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("_kept"))
+    by_id = written(by_id.where("_n > 1 OR NOT _kept"), "by-id")
+    same = docs[id_col].cast("bigint").eqNullSafe(F.col("_id"))
+    single = docs.join(by_id.select("_id"), same, "left_anti")
+    # Rows that share an identifier are told apart by their texts.
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    digest = F.sha2(F.translate(F.coalesce(text_col, F.lit("")), upper, lower), 256)
+    shared = docs.join(by_id.where("_n > 1").select("_id"), same, "left_semi").withColumn("_digest", digest)
+    stay = flags.where("kept").select(F.col(id_col).alias("_stays"), "text_sha256")
+    shared = shared.join(stay, shared[id_col].cast("bigint").eqNullSafe(F.col("_stays")) & (F.col("_digest") == F.col("text_sha256")), "left_semi")
+    return single.unionByName(shared.dropDuplicates([id_col, "_digest"]).drop("_digest"))

@@ -50,6 +50,8 @@ BLOCK_SHINGLES = 400_000
 HOT_IN_TASK = 3
 HOT_COUNT = 48
 HOT_SHINGLES = 1_000_000
+#: Classes that may have links are sent to all tasks up to this many (50 bytes each); more meet the texts in a shuffle.
+BROADCAST_ROWS = 500_000
 _COLUMNS = 4096
 _FLUSH = 1 << 21
 _BUCKET = 1 << 21
@@ -366,8 +368,9 @@ def jaccard_groups(
     amount = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)
     blocks = chosen.groupBy("comp").agg(F.ceil(amount).alias("blocks"))
     chosen = written(chosen.join(blocks, "comp"), "chosen")
-    weight = chosen.agg(F.sum("n")).first()[0] or 0
-    bodies = written(_bodies(docs, chosen, id_col=id_col, text_col=text_col, words=words), "sets")
+    weight, classes = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    wanted = F.broadcast(chosen) if classes <= BROADCAST_ROWS else chosen
+    bodies = written(_bodies(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets")
 
     # Small components share groups; a large one has groups of its own.
     large = F.col("blocks") > 1
@@ -440,3 +443,10 @@ def _across_blocks(bodies: DataFrame, links: DataFrame, similarity: Fraction) ->
     )
     rows = asking.unionByName(asked).join(bodies.select("cls", "body"), "cls")
     return written(links.unionByName(_block_links(rows, ["comp", "row_part", "column_part"], similarity)), "links")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose group has a smaller identifier; rows that share one go together."""
+    groups = written(jaccard_groups(docs, id_col=id_col, text_col=text_col), "groups")
+    gone = groups.where("component_id IS NOT NULL AND NOT component_id <=> " + f"`{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
