@@ -31,8 +31,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 #: Words longer than this are not remembered, and the memory is emptied when it holds so many words or arcs.
 MEMO_CHARS = 48
-MEMO_WORDS = 400_000
-MEMO_ARCS = 2_000_000
+MEMO_WORDS = 150_000
+MEMO_ARCS = 400_000
 _NEVER = 1 << 40
 _PACK = struct.Struct("<I").pack
 

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankarena.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, secrets, warc
+from rankarena.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id, licenses, quality, secrets, token_shards, warc
 from rankarena.sources.scratch import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), file=VOCABULARY)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in a tree of directories: their source, then thousands, then fifties of identifiers."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "path", F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 50"), "doc_id")
+    )
+    return licenses.scan(docs)
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "shards")
+    return token_shards.write_shards(
+        table(spark, sf_dir, "documents"), path, file=public_tokenizers.path("byte_bpe_50k.tiktoken")
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).drop("probabilities", "positions")
 
@@ -60,6 +75,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
+    "op3_token_shards": op3_token_shards,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
