@@ -217,6 +217,14 @@ def decode_documents(docs: DataFrame, *, file: str, ids_col: str = "ids", text_c
     return _mapped(docs, ids_col, text_col, "string", file, False, _decode_rows)
 
 
+def round_trip(docs: DataFrame, *, file: str, text_col: str = "text", ids_col: str = "ids", decodes_col: str = "decodes") -> DataFrame:
+    """``docs`` with the ids of each text, and whether they decode to it, in one pass."""
+    kept = [c for c in docs.columns if c not in (ids_col, decodes_col)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    made = _mapped(rows, "text", "made", "struct<ids: binary, decodes: boolean>", file, False, _round_trip_rows)
+    return made.select("row.*", F.col("made.ids").alias(ids_col), F.col("made.decodes").alias(decodes_col))
+
+
 def digest_documents(docs: DataFrame, *, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each text in one pass, keeping only counts and digests of both."""
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
@@ -233,6 +241,14 @@ def _decode_rows(ids: Iterator[bytes], tokenizer: Tokenizer) -> pa.Array:
     return pa.array([tokenizer.decode(np.frombuffer(i, "<u4")) for i in ids], pa.string())
 
 
+def _round_trip_rows(texts: Iterator[bytes], tokenizer: Tokenizer) -> pa.Array:
+    rows = []
+    for text in texts:
+        ids = tokenizer.encode(text.decode("utf-8"))
+        rows.append({"ids": ids.tobytes(), "decodes": tokenizer.decode(ids).encode("utf-8") == text})
+    return pa.array(rows, pa.struct([("ids", pa.binary()), ("decodes", pa.bool_())]))
+
+
 def _digest_rows(texts: Iterator[bytes], tokenizer: Tokenizer) -> pa.Array:
     rows = []
     for text in texts:
