@@ -35,18 +35,9 @@ def unseen_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers), and whether they decode to the text."""
-    file = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), file=file)
-    decoded = bpe.decode_documents(encoded, file=file)
-    return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"),
-        "ids",
-    )
+    encoded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), file=public_tokenizers.path("byte_bpe_50k.json"))
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    return encoded.select("doc_id", "lang", "source", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), "decodes", "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [
