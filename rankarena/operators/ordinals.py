@@ -1,6 +1,6 @@
 """Row numbers inside groups of any size."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
@@ -34,27 +34,43 @@ def with_ordinal(
     if hot.isEmpty():
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*scope).orderBy(*sort_keys)))
 
-    # The sort key as one comparable value, in which all columns ascend.
-    key = F.struct(*[(F.col(c) if up else -F.col(c)).alias(f"k{i}") for i, (c, up) in enumerate(order.items())])
+    # The sort key as one comparable value, in which all columns ascend. Descending, NaN comes first and null last, as
+    # in the window above.
+    def ascending(column: str, up: bool) -> list[Column]:
+        value = F.col(column)
+        if up:
+            return [value]
+        number = value.cast("double")
+        return [value.isNull(), F.coalesce(~F.isnan(number), F.lit(True)), F.when(~F.isnan(number), -value)]
+
+    parts = [part for c, up in order.items() for part in ascending(c, up)]
+    key = F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
     keyed = df.withColumn("_key", key)
 
+    def same_scope(prefix: str) -> Column:
+        """Scopes are equal, null included; the other side's columns have a prefix."""
+        same = F.lit(True)
+        for c in scope:
+            same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+        return same
+
     # Cut points: a share of the keys chosen by hash, hence the same ones whenever a task is run again. The
     # first filter is the largest share that any hot scope has, so only a small sample meets the sizes.
     chance = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     cuts = (
         keyed.select(*scope, "_key")
         .where(chance < F.lit(_PIECES / hot_rows))
-        .join(hot, scope)
+        .join(hot.select(*[F.col(c).alias(f"_h_{c}") for c in scope], "n"), same_scope("_h_"))
         .where(chance < F.lit(float(_PIECES)) / F.col("n"))
         .groupBy(*scope)
         .agg(F.sort_array(F.collect_set("_key")).alias("_cuts"))
     )
     # The explicit repartition matters: rows that were joined by scope would otherwise stay together by scope.
     pieces = (
-        keyed.join(cuts, scope, "left")
+        keyed.join(cuts.select(*[F.col(c).alias(f"_c_{c}") for c in scope], "_cuts"), same_scope("_c_"), "left")
         .withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0)))
         .withColumn("_piece", F.greatest("_piece", F.lit(0)))
-        .drop("_cuts")
+        .drop("_cuts", *[f"_c_{c}" for c in scope])
         .repartition(*scope, "_piece")
     )
     # One row per piece: the running total covers a few hundred rows per scope.
@@ -65,8 +81,9 @@ def with_ordinal(
     numbered = pieces.withColumn(
         "_place", F.row_number().over(Window.partitionBy(*scope, "_piece").orderBy("_key"))
     )
+    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in scope], F.col("_piece").alias("_o_piece"), "_offset")
     return (
-        numbered.join(offsets, [*scope, "_piece"])
+        numbered.join(offsets, same_scope("_o_") & (F.col("_piece") == F.col("_o_piece")))
         .withColumn(name, (F.col("_place") + F.col("_offset")).cast("int"))
         .select(*df.columns, name)
     )
