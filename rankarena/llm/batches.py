@@ -1,6 +1,7 @@
 """Arrow batches as numpy arrays of UTF-8 bytes, words and word hashes."""
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,57 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 
 
+def release() -> None:
+    """Give memory that is free but still held back to the system; a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` of batches, with memory released after each batch and at the end."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(released(batches))
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``function`` of a group, with memory released after a large one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            if table.nbytes >= PIECE_BYTES:
+                release()
+
+    return run
+
+
+def lean_cogroup(function: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``function`` of two groups, with memory released after large ones."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(left, right)
+        finally:
+            if left.nbytes + right.nbytes >= PIECE_BYTES:
+                release()
+
+    return run
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of consecutive rows with about ``limit`` bytes in ``column`` each."""
     if batch.num_rows == 0:

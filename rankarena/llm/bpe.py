@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankarena.llm.batches import lean
+
 # Fixed value: how this vocabulary splits text before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -274,4 +276,4 @@ def _mapped(docs: DataFrame, source: str, target: str, kind: str, file: str, spe
                 given = (v.as_py() or b"" for v in part.column(source).cast(pa.large_binary()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], rows(given, tokenizer)], [*kept, target])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankarena.llm.batches import lower_ascii, pieces, span_hashes, text_bytes, word_spans
+from rankarena.llm.batches import lean, lower_ascii, pieces, span_hashes, text_bytes, word_spans
 from rankarena.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -193,7 +193,7 @@ def find_contamination(
                     columns = [piece.column("row"), piece.column("text"), *_search_rows(piece.column("text"), *earlier, block)]
                     yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "item_ids", "spans"])
 
-        found = found.mapInArrow(search, f"row {row_type}, text string, {_FOUND}")
+        found = found.mapInArrow(lean(search), f"row {row_type}, text string, {_FOUND}")
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_word"] - s["first_word"])
     return found.select("row", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
 

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankarena.llm.batches import lean, pieces
 from rankarena.sources.scratch import written
 
 _HEAD_BYTES = 32
@@ -32,8 +33,9 @@ _RUNS_ARROW = pa.schema(
 
 def _lower_ascii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = pc.ascii_lower(pc.fill_null(batch.column("text"), "")).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), text], ["id", "body"])
+        for piece in pieces(batch, "text"):
+            text = pc.ascii_lower(pc.fill_null(piece.column("text"), "")).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("id"), text], ["id", "body"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,14 +82,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the identifier, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    bodies = rows.mapInArrow(_lower_ascii, "id bigint, body binary")
+    bodies = rows.mapInArrow(lean(_lower_ascii), "id bigint, body binary")
     keyed = bodies.withColumn("head", F.substring("body", 1, _HEAD_BYTES)).withColumn("hash", F.xxhash64("body"))
     last_first = F.col("id").desc_nulls_last()
     runs = (
         keyed.repartitionByRange("head", "hash", last_first)
         .sortWithinPartitions("head", "hash", "body", last_first)
         .select("id", "body")
-        .mapInArrow(_neighbours, _RUNS)
+        .mapInArrow(lean(_neighbours), _RUNS)
     )
     runs = written(runs, "exact-runs")
     # Two runs per range at most: a bound that comes from the number of partitions, not from the rows.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankarena.llm.batches import lower_ascii, mixed, pieces, span_hashes, text_bytes, word_spans
+from rankarena.llm.batches import lean, lean_group, lower_ascii, mixed, pieces, span_hashes, text_bytes, word_spans
 from rankarena.llm.components import components
 from rankarena.sources.scratch import written
 
@@ -213,7 +213,7 @@ def class_table(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> D
             none = pa.nulls(len(keys[part]), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(keys[part]), pa.array(counts[part]), none], names)
 
-    return rows.mapInArrow(run, "id bigint, h bigint, n bigint, cls bigint")
+    return rows.mapInArrow(lean(run), "id bigint, h bigint, n bigint, cls bigint")
 
 
 def hot_shingles(table: DataFrame) -> np.ndarray:
@@ -270,7 +270,7 @@ def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes,
         return pa.Table.from_batches([_rows(u=u, v=v)])
 
     texts = docs.select(F.col(text_col).alias("text")).where("text <> ''")
-    return texts.mapInArrow(run, schema).groupBy("bucket").applyInArrow(tie, "u bigint, v bigint")
+    return texts.mapInArrow(lean(run), schema).groupBy("bucket").applyInArrow(lean_group(tie), "u bigint, v bigint")
 
 
 def linked(sets: list[np.ndarray], similarity: Fraction, left: np.ndarray | None = None) -> np.ndarray:
@@ -344,7 +344,7 @@ def _block_links(rows: DataFrame, keys: list[str], similarity: Fraction) -> Data
         u, v = np.array(edges, np.int64).reshape(-1, 2).T
         return pa.Table.from_batches([_rows(u=u, v=v)])
 
-    return rows.groupBy(*keys).applyInArrow(run, "u bigint, v bigint")
+    return rows.groupBy(*keys).applyInArrow(lean_group(run), "u bigint, v bigint")
 
 
 def jaccard_groups(
@@ -404,7 +404,7 @@ def _bodies(docs: DataFrame, chosen: DataFrame, *, id_col: str, text_col: str, w
                 columns = [piece.column("comp"), piece.column("cls"), piece.column("blocks"), pa.array(bodies, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["comp", "cls", "blocks", "body"])
 
-    return met.select("comp", "cls", "blocks", "text").mapInArrow(run, "comp bigint, cls bigint, blocks bigint, body binary")
+    return met.select("comp", "cls", "blocks", "text").mapInArrow(lean(run), "comp bigint, cls bigint, blocks bigint, body binary")
 
 
 def _groups_so_far(bodies: DataFrame, links: DataFrame) -> DataFrame:

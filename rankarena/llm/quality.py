@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankarena.llm.batches import pieces, text_bytes
+from rankarena.llm.batches import lean, lean_cogroup, lean_group, pieces, text_bytes
 from rankarena.sources.scratch import written
 
 ORDER = 5
@@ -104,7 +104,7 @@ def gram_counts(docs: DataFrame, *, text_col: str = "text", order: int = ORDER)
             part = slice(start, start + (1 << 17))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys[part]), pa.array(found.counts[part])], ["g", "c"])
 
-    return docs.select(F.col(text_col).alias("text")).where("text <> ''").mapInArrow(run, "g bigint, c bigint")
+    return docs.select(F.col(text_col).alias("text")).where("text <> ''").mapInArrow(lean(run), "g bigint, c bigint")
 
 
 def model_levels(trusted: DataFrame, *, order: int = ORDER) -> DataFrame:
@@ -196,7 +196,7 @@ def perplexities(
         "text",
     )
     row_type = rows.schema["row"].dataType.simpleString()
-    dealt = rows.mapInArrow(packed, f"shard bigint, row {row_type}, lang string, calibrates boolean, body binary")
+    dealt = rows.mapInArrow(lean(packed), f"shard bigint, row {row_type}, lang string, calibrates boolean, body binary")
     dealt = dealt.repartition(int(shards), "shard")
 
     def ask(table: pa.Table) -> pa.Table:
@@ -207,7 +207,7 @@ def perplexities(
         shard = pa.repeat(table.column("shard")[0], len(found.keys))
         return pa.Table.from_arrays([shard, pa.array(found.keys)], ["shard", "g"])
 
-    asked = dealt.groupBy("shard").applyInArrow(ask, "shard bigint, g bigint")
+    asked = dealt.groupBy("shard").applyInArrow(lean_group(ask), "shard bigint, g bigint")
     answers = asked.join(logs, "g").select("shard", "g", "logp")
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -232,7 +232,7 @@ def perplexities(
         )
 
     out_type = f"row {row_type}, text string, lang string, bytes bigint, perplexity double, calibrates boolean"
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, out_type)
+    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lean_cogroup(score), out_type)
 
 
 def thresholds(scored: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_TEXTS) -> DataFrame:
