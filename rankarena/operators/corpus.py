@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankarena.fixed_values import RUN_TAG
 from rankarena.functions.ids import canonical_query_id, docno_parts
 from rankarena.operators.ordinals import HOT_ROWS, group_sizes, with_ordinal
 
@@ -94,5 +95,5 @@ def working_set(docs: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
         "docno",
         F.col("place").alias("rank"),
         (-F.col("place")).alias("score"),
-        F.lit("indri").alias("run_id"),
+        F.lit(RUN_TAG).alias("run_id"),
     )

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from rankarena.sources.scratch import written
+
 MAX_NODES = 1_000_000
 _MAX_CASE_NODES = 1_000
 
@@ -24,9 +26,10 @@ def score_ensemble(
     strategy: str = "auto",
     max_nodes: int = MAX_NODES,
 ) -> DataFrame:
-    """``keep`` columns plus ``score``, the sum of the leaf values over all trees.
+    """``keep`` columns plus ``score``, the sum of the leaf values over all trees in the order of their numbers.
 
-    A small model becomes one native expression, a larger one arrays that go to the tasks. Only up to
+    All strategies give the same rows: one per input row, repeated rows included, with score 0 for an empty model. A
+    null or NaN feature goes right. A feature that the model asks for and the rows lack is an error. A small model becomes one native expression, a larger one arrays that go to the tasks. Only up to
     ``max_nodes`` nodes are fetched for that; a model beyond them stays a table and is walked by joins.
     """
     if strategy not in ("auto", "case", "arrays", "joins"):
@@ -34,8 +37,18 @@ def score_ensemble(
     nodes: list[Row] = []
     if strategy != "joins":
         nodes = model.limit(max_nodes + 1).collect()
-    if strategy == "joins" or len(nodes) > max_nodes:
-        return _walk_by_joins(features, model, keep)
+    by_joins = strategy == "joins" or len(nodes) > max_nodes
+    if by_joins:
+        # One more than there are columns: enough to find one that is missing.
+        asked = model.where(F.col("left").isNotNull()).select("feature").distinct().limit(len(features.columns) + 1)
+        used = sorted(r["feature"] for r in asked.collect())
+    else:
+        used = sorted({n.feature for n in nodes if n.left is not None})
+    missing = [f"f{f}" for f in used if f"f{f}" not in features.columns]
+    if missing:
+        raise ValueError(f"the model asks for features that the rows lack: {', '.join(missing)}")
+    if by_joins:
+        return _walk_by_joins(features, model, keep, used)
     if strategy == "case" or (strategy == "auto" and len(nodes) <= _MAX_CASE_NODES):
         return features.select(*keep, _case_score(nodes).alias("score"))
     return features.select(*keep, _array_score(nodes).alias("score"))
@@ -74,7 +87,9 @@ def _array_score(nodes: list[Row]) -> Column:
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in batch])
+            # With a single input column Spark hands over the series itself.
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             rows = np.arange(len(x))
             total = np.zeros(len(x))
             for root in roots:
@@ -88,34 +103,35 @@ def _array_score(nodes: list[Row]) -> Column:
     return score(*inputs)
 
 
-def _depth(model: DataFrame) -> int:
+def _depth(inner: DataFrame) -> int:
     """Steps from the roots to the deepest leaf."""
-    inner = model.where(F.col("left").isNotNull()).select("tree", "node", "left", "right")
-    level = inner.where(F.col("node") == 0)
+    level = inner.where(F.col("node") == 0).select("tree", "left", "right")
     depth = 0
     while not level.isEmpty():
         depth += 1
         children = level.select("tree", F.explode(F.array("left", "right")).alias("node"))
-        level = inner.join(children, ["tree", "node"])
+        level = written(inner.join(children, ["tree", "node"]).select("tree", "left", "right"), "tree-level")
     return depth
 
 
-def _walk_by_joins(features: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per (input row, tree) which moves down a level with each join."""
-    names = [c for c in features.columns if c[:1] == "f" and c[1:].isdigit()]
-    values: list[Any] = []
-    for name in names:
-        values += [F.lit(int(name[1:])), F.col(name).cast("double")]
+def _walk_by_joins(features: DataFrame, model: DataFrame, keep: list[str], used: list[int]) -> DataFrame:
+    """One row per (input row, tree) which moves down a level with each join.
+
+    Rows that are alike in all columns used walk together and are told apart again at the end.
+    """
+    inner = written(model.where(F.col("left").isNotNull()).drop("value"), "tree-nodes")
     trees = model.where(F.col("node") == 0).agg(F.sort_array(F.collect_set("tree"))).scalar()
-    at = features.select(*keep, F.create_map(*values).alias("_x"), F.explode(trees).alias("tree")).withColumn(
-        "node", F.lit(0)
-    )
-    inner = model.where(F.col("left").isNotNull()).drop("value")
-    for _ in range(_depth(model)):
-        goes_left = F.try_element_at("_x", F.col("feature")) <= F.col("threshold")
+    values = F.array(*[F.col(f"f{f}").cast("double") for f in used]).cast("array<double>")
+    alike = features.select(*keep, values.alias("_x")).groupBy(*keep, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    at = alike.select(*keep, "_x", "_n", F.explode_outer(trees).alias("tree")).withColumn("node", F.lit(0))
+    # Where a feature stands in the array.
+    place = F.array_position(F.array(*[F.lit(f) for f in used]).cast("array<int>"), F.col("feature").cast("int"))
+    for _ in range(_depth(inner)):
+        goes_left = F.try_element_at("_x", place.cast("int")) <= F.col("threshold")
         at = at.join(inner, ["tree", "node"], "left").select(
             *keep,
             "_x",
+            "_n",
             "tree",
             F.when(F.col("left").isNull(), F.col("node"))
             .when(goes_left, F.col("left"))
@@ -123,4 +139,10 @@ def _walk_by_joins(features: DataFrame, model: DataFrame, keep: list[str]) -> Da
             .alias("node"),
         )
     leaves = model.where(F.col("left").isNull()).select("tree", "node", "value")
-    return at.join(leaves, ["tree", "node"]).groupBy(*keep).agg(F.sum("value").alias("score"))
+    # One entry a tree, added up in the order of the trees.
+    found = at.join(leaves, ["tree", "node"], "left").groupBy(*keep, "_x", "_n").agg(
+        F.sort_array(F.collect_list(F.struct("tree", F.coalesce("value", F.lit(0.0)).alias("value")))).alias("_values")
+    )
+    score = F.aggregate("_values", F.lit(0.0), lambda total, v: total + v["value"])
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))
+    return found.select(*keep, score.alias("score"), copies.alias("_copy")).drop("_copy")

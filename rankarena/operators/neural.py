@@ -1,5 +1,6 @@
 """Scores of a neural (query, document) model."""
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,9 +14,20 @@ from rankarena.functions.scores import relevance_from_logits
 Scorer = Callable[[list[str], list[str]], np.ndarray]
 
 
+#: The scorer that a worker process has loaded last, by the call that it belongs to.
+_LOADED: dict[str, Scorer] = {}
+
+
+def _loaded(key: str, load_scorer: Callable[[], Scorer]) -> Scorer:
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = load_scorer()
+    return _LOADED[key]
+
+
 def query_document_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Each document with the text of its own query."""
-    return docs.join(queries.select("query_id", "query"), "query_id")
+    return docs.drop("query").join(queries.select("query_id", "query"), "query_id")
 
 
 def neural_scores(
@@ -23,12 +35,14 @@ def neural_scores(
 ) -> DataFrame:
     """``keep`` columns plus ``score`` for rows with ``query`` and ``text``.
 
-    ``load_scorer`` is called once per task, where it may load a model; any length limit is the scorer's own.
+    ``load_scorer`` is called once per worker process, where it may load a model; any length limit is the scorer's own.
     """
 
+    key = uuid.uuid4().hex
+
     @F.pandas_udf("array<double>")
     def logits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        scorer = load_scorer()
+        scorer = _loaded(key, load_scorer)
         for queries, texts in batches:
             parts = []
             for start in range(0, len(queries), batch_size):

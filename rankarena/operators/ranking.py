@@ -1,5 +1,7 @@
 """Ranking fields with a model, and stepping a competition from one epoch to the next."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from rankarena.functions.ids import internal_doc_id, internal_docno, last_segmen
 from rankarena.functions.text import within_word_limit
 from rankarena.operators.ensemble import score_ensemble
 from rankarena.operators.features import ltr_features
+from rankarena.operators.neural import Scorer
 from rankarena.operators.ordinals import HOT_ROWS, with_ordinal
 from rankarena.operators.terms import TermIndex
 
@@ -38,6 +41,7 @@ def rank_fields(
     queries: DataFrame,
     model: DataFrame,
     scores: DataFrame | None = None,
+    load_scorer: Callable[[], Scorer] | None = None,
     scope_cols: list[str] | None = None,
     index: TermIndex | None = None,
     hot_rows: int = HOT_ROWS,
@@ -48,7 +52,7 @@ def rank_fields(
     """
     scope_cols = list(FIELD if scope_cols is None else scope_cols)
     features = ltr_features(
-        docs=docs, queries=queries, scores=scores, scope_cols=scope_cols, mode="test", index=index
+        docs=docs, queries=queries, scores=scores, load_scorer=load_scorer, scope_cols=scope_cols, mode="test", index=index
     )
     scored = score_ensemble(features, model, keep=[*scope_cols, "docno"])
     return rank_by_score(scored, scope_cols=scope_cols, sizes_from=docs, hot_rows=hot_rows)
@@ -63,14 +67,21 @@ def upsert_candidates(field: DataFrame, candidates: DataFrame) -> DataFrame:
     """The field which each candidate joins: all other authors' texts and the candidate's, which replaces its own.
 
     ``field`` has ``query_id, epoch, author_id, text``; ``candidates`` has ``query_id, epoch, bot, text``.
-    Authors are known by the last segment of their name.
+    Authors are known by the last segment of their name; of several with one segment the one with the largest whole
+    name counts.
     """
     author = last_segment(F.col("author_id"))
     bots = candidates.select(*EPOCH_FIELD)
+    # An author who is there twice has the larger text.
+    named = ["query_id", "epoch", "author_id"]
+    segments = field.groupBy("query_id", "epoch", author.alias("_segment")).agg(F.max("author_id").alias("author_id"))
     others = (
-        field.join(bots, ["query_id", "epoch"])
-        .where(author != F.col("bot"))
-        .select(*EPOCH_FIELD, author.alias("author_id"), "text")
+        field.join(segments, named)
+        .groupBy(*named, "_segment")
+        .agg(F.max("text").alias("text"))
+        .join(bots, ["query_id", "epoch"])
+        .where(F.col("_segment") != last_segment(F.col("bot")))
+        .select(*EPOCH_FIELD, F.col("_segment").alias("author_id"), "text")
     )
     own = candidates.select(*EPOCH_FIELD, last_segment(F.col("bot")).alias("author_id"), "text")
     return others.unionByName(own)
@@ -81,12 +92,23 @@ def opponents(states: DataFrame) -> DataFrame:
 
 
 def epoch_step(
-    *, field: DataFrame, candidates: DataFrame, queries: DataFrame, model: DataFrame, hot_rows: int = HOT_ROWS
+    *,
+    field: DataFrame,
+    candidates: DataFrame,
+    queries: DataFrame,
+    model: DataFrame,
+    load_scorer: Callable[[], Scorer] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Let accepted candidates join their fields and rank these: the epoch's state, one row per author."""
+    """Let accepted candidates join their fields and rank these: the epoch's state, one row per author.
+
+    A model that asks for the neural feature needs ``load_scorer``, which scores candidates like all others.
+    """
     accepted = candidates.where(within_word_limit(F.col("text")))
     members = upsert_candidates(field, accepted)
     docs = members.withColumn("docno", internal_docno(F.col("author_id"))).drop("author_id")
-    ranked = rank_fields(docs=docs, queries=queries, model=model, scope_cols=EPOCH_FIELD, hot_rows=hot_rows)
+    ranked = rank_fields(
+        docs=docs, queries=queries, model=model, load_scorer=load_scorer, scope_cols=EPOCH_FIELD, hot_rows=hot_rows
+    )
     placed = ranked.select(*EPOCH_FIELD, internal_doc_id(F.col("docno")).alias("author_id"), "rank")
     return members.join(placed, [*EPOCH_FIELD, "author_id"])

@@ -13,17 +13,19 @@ from rankarena.functions.ids import canonical_query_id, epoch_to_round
 from rankarena.functions.text import strip
 
 
+def _place() -> Column:
+    """Where a row stands in its files, sortable."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    ).alias("place")
+
+
 def _records(spark: SparkSession, path: str | list[str], separator: str | None = None) -> DataFrame:
     """Text records with a sortable ``place`` in their files."""
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
-    return reader.text(path).select(
-        "value",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("place"),
-    )
+    return reader.text(path).select("value", _place())
 
 
 def _or_error(valid: Column, value: Column, message: str, shown: Column) -> Column:
@@ -38,10 +40,13 @@ def read_trectext(
     """``(docno, text)`` from DOC / DOCNO / TEXT blocks; bytes that are not UTF-8 are dropped.
 
     The last block of a docno wins. ``unique=True`` says that no docno occurs twice, which saves a shuffle of
-    all texts. A block without DOCNO or TEXT is an error; ``strict=False`` leaves such blocks out.
+    all texts. A block without DOCNO or TEXT is an error; ``strict=False`` leaves such blocks out. Text without any
+    of the tags, as before the first block, is skipped. Genuine replacement characters stay.
     """
-    blocks = _records(spark, path, separator="<DOC>").where(F.length(strip(F.col("value"))) > 0)
     value = F.col("value")
+    tags = ("<DOCNO>", "<TEXT>", "</DOC>")
+    tagged = value.contains(tags[0]) | value.contains(tags[1]) | value.contains(tags[2])
+    blocks = _records(spark, path, separator="<DOC>").where(tagged)
     whole = value.contains("<DOCNO>") & value.contains("<TEXT>")
     if strict:
         blocks = blocks.withColumn("value", _or_error(whole, value, "not a document block: ", value))
@@ -52,10 +57,13 @@ def read_trectext(
         opened = F.split_part(value, F.lit(f"<{tag}>"), F.lit(2))
         return F.split_part(opened, F.lit(f"</{tag}>"), F.lit(1))
 
-    # Spark decodes invalid bytes to the replacement character.
+    # Spark decodes invalid bytes to the replacement character, in records that hold such bytes.
+    def valid(part: Column) -> Column:
+        return F.when(F.is_valid_utf8(value), part).otherwise(F.replace(part, F.lit("\N{REPLACEMENT CHARACTER}"), F.lit("")))
+
     docs = blocks.select(
-        between("DOCNO").alias("docno"),
-        strip(F.replace(between("TEXT"), F.lit("\N{REPLACEMENT CHARACTER}"), F.lit(""))).alias("text"),
+        valid(between("DOCNO")).alias("docno"),
+        strip(valid(between("TEXT"))).alias("text"),
         "place",
     )
     if unique:
@@ -79,15 +87,21 @@ def read_judgements(
     )
 
 
-def read_queries(spark: SparkSession, path: str | list[str], *, legacy_colon: bool = False) -> DataFrame:
+def read_queries(
+    spark: SparkSession, path: str | list[str], *, legacy_colon: bool = False, strict: bool = True
+) -> DataFrame:
     """``(query_id, query)`` from ``id:text`` lines; the last line of an id wins.
 
-    ``legacy_colon`` ends the text at a second colon.
+    ``legacy_colon`` ends the text at a second colon. A line without a colon is an error unless it is blank;
+    ``strict=False`` leaves such lines out.
     """
+    value = F.col("value")
     parts = F.split(F.col("value"), ":", -1 if legacy_colon else 2)
+    found = _records(spark, path).where(F.length(strip(value)) > 0)
+    if strict:
+        found = found.withColumn("value", _or_error(value.contains(":"), value, "not a query line: ", value))
     lines = (
-        _records(spark, path)
-        .where(F.col("value").contains(":"))
+        found.where(value.contains(":"))
         .select(
             canonical_query_id(F.get(parts, F.lit(0))).alias("query_id"),
             strip(F.get(parts, F.lit(1))).alias("query"),
@@ -98,13 +112,15 @@ def read_queries(spark: SparkSession, path: str | list[str], *, legacy_colon: bo
 
 
 def read_qrels(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(query_id, docno, rel)``; ``EPOCH`` docnos become ``ROUND`` ones."""
-    rows = spark.read.schema(schema.QRELS).csv(path, sep=" ", quote="")
-    return rows.select(
+    """``(query_id, docno, rel)``; ``EPOCH`` docnos become ``ROUND`` ones, and the first judgement of a pair counts."""
+    rows = spark.read.schema(schema.QRELS).csv(path, sep=" ", quote="").select("*", _place())
+    named = rows.select(
         canonical_query_id(F.col("query_id")).alias("query_id"),
         epoch_to_round(F.col("docno")).alias("docno"),
         "rel",
+        "place",
     )
+    return named.groupBy("query_id", "docno").agg(F.min_by("rel", "place").alias("rel"))
 
 
 def read_run(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """All registered queries against their SQL twins, and the shape of their plans."""
 
+import re
+
 import pytest
 
 import check
@@ -43,7 +45,10 @@ def test_plans_stay_native_and_without_products(spark, name):
 
 def test_scans_read_only_what_is_needed(spark):
     text = plan(QUERIES["rank_deltas"](spark, SF_DIR))
-    assert "text" not in text.split("== Physical Plan ==")[1].split("ReadSchema")[1]
+    scans = re.findall(r"ReadSchema: (struct<[^\n]*)", text.split("== Physical Plan ==")[1])
+    read = [re.findall(r"(\w+):", scan) for scan in scans]
+    # Query texts come from the benchmark table; of documents no text is read.
+    assert scans and not any("text" in columns and "doc_id" in columns for columns in read)
 
 
 def test_deltas_have_no_window_per_author(spark):

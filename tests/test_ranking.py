@@ -71,6 +71,27 @@ def test_ensemble_strategies_agree(spark):
         ensemble.score_ensemble(rows_in, model, keep=["docno"], strategy="other")
 
 
+@pytest.mark.parametrize("strategy", ["case", "arrays", "joins"])
+def test_ensemble_strategies_agree_on_odd_input(spark, strategy):
+    def scores(data, model):
+        df = spark.createDataFrame(data, "docno string, f1 double, f2 double")
+        made = ensemble.score_ensemble(df, spark.createDataFrame(model, TREE_ENSEMBLE), keep=["docno"], strategy=strategy)
+        return rows(made, "docno", "score")
+
+    def stump(tree, feature, low, high):
+        return [(tree, 0, feature, 0.5, 1, 2, None), (tree, 1, None, None, None, None, low), (tree, 2, None, None, None, None, high)]
+
+    nan = float("nan")
+    data = [("a", 0.0, 1.0), ("a", 0.0, 1.0), ("a", 1.0, 1.0), ("b", None, 0.0), ("c", nan, 0.0)]
+    assert scores(data, stump(0, 1, 1.0, 2.0)) == [("a", 1.0), ("a", 1.0), ("a", 2.0), ("b", 2.0), ("c", 2.0)]
+    assert scores(data, [(0, 0, None, None, None, None, 3.0)]) == [(d[0], 3.0) for d in data]
+    assert scores(data, []) == [(d[0], 0.0) for d in data]
+    uneven = stump(0, 1, 0.1, 0.1) + stump(1, 2, 0.2, 0.2) + stump(2, 1, 0.3, 0.3)
+    assert scores(data, uneven) == [(d[0], 0.1 + 0.2 + 0.3) for d in data]
+    with pytest.raises(ValueError, match="f26"):
+        scores(data, stump(0, 26, 1.0, 2.0))
+
+
 def test_large_ensemble_becomes_arrays(spark):
     trees = []
     for t in range(400):
@@ -157,3 +178,22 @@ def test_epoch_step(spark):
     ]
     flagged = ranking.candidates_within_limit(candidates)
     assert rows(flagged, "query_id", "accepted") == [("001", True), ("002", False)]
+
+
+def test_epoch_step_with_a_scorer_and_authors_of_one_segment(spark):
+    def load_length_scorer():
+        return lambda queries, texts: np.array([[float(len(t))] for t in texts])
+
+    nodes = [(0, 0, 26, 0.5, 1, 2, None), (0, 1, None, None, None, None, 0.0), (0, 2, None, None, None, None, 1.0)]
+    field = spark.createDataFrame(
+        [
+            ("001", 3, "ROUND-02-001-04", "one two three four"), ("001", 3, "ROUND-03-001-04", "four"),
+            ("001", 3, "07", "twenty words of text"), ("001", 3, "X-BOT", "old"),
+        ],
+        "query_id string, epoch int, author_id string, text string",
+    )
+    candidates = spark.createDataFrame([("001", 3, "A-BOT", "a new text")], "query_id string, epoch int, bot string, text string")
+    queries = spark.createDataFrame([("001", "text")], "query_id string, query string")
+    model = spark.createDataFrame(nodes, TREE_ENSEMBLE)
+    made = ranking.epoch_step(field=field, candidates=candidates, queries=queries, model=model, load_scorer=load_length_scorer)
+    assert rows(made, "author_id", "text", "rank") == [("04", "four", 2), ("07", "twenty words of text", 1), ("BOT", "a new text", 3)]

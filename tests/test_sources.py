@@ -90,15 +90,34 @@ def test_epoch_states(spark, tmp_path):
     assert rows(tables.read_epoch_states(spark, str(tmp_path / "states")), *schema.EPOCH_STATE.names) == values
 
 
-def test_large_fields_are_spread_over_several_maps(spark, tmp_path):
+def test_fields_of_any_size_have_one_layout(spark, tmp_path):
     states = spark.range(2500).select(
         F.lit("195").alias("query_id"), F.lit(1).alias("epoch"), F.lit("A").alias("bot"),
         F.col("id").cast("string").alias("author_id"), F.lit("t").alias("text"), (F.col("id") + 1).cast("int").alias("rank"),
     )
-    assert sinks.epoch_maps(states).count() == 3
+    assert sinks.epoch_maps(states).count() == 1
     sinks.write_epoch_states(states, str(tmp_path / "states"))
-    back = tables.read_epoch_states(spark, str(tmp_path / "states")).select(*schema.EPOCH_STATE.names)
-    assert back.exceptAll(states).isEmpty() and back.count() == 2500
+    sinks.write_epoch_maps(states, str(tmp_path / "maps"))
+    for back in (tables.read_epoch_states(spark, str(tmp_path / "states")), tables.read_epoch_maps(spark, str(tmp_path / "maps"))):
+        assert back.select(*schema.EPOCH_STATE.names).exceptAll(states).isEmpty() and back.count() == 2500
+
+
+def test_dirty_trectext(spark, tmp_path):
+    path = write(
+        tmp_path / "dirty",
+        "a preamble\n<DOC><DOCNO>a</DOCNO><TEXT>kept \ufffd</TEXT></DOC>\n".encode()
+        + b"<DOC><DOCNO>b\xff</DOCNO><TEXT>dropped \xfe</TEXT></DOC>\n",
+    )
+    assert rows(trec.read_trectext(spark, path)) == [("a", "kept \ufffd"), ("b", "dropped")]
+
+
+def test_repeated_judgements_and_lines_without_a_colon(spark, tmp_path):
+    qrels = write(tmp_path / "qrels", "7 0 ROUND-01-007-02 1\n007 0 EPOCH-01-007-02 0\n")
+    assert rows(trec.read_qrels(spark, qrels)) == [("007", "ROUND-01-007-02", 1)]
+    asked = write(tmp_path / "asked", "7:a query\n\nno colon\n")
+    assert rows(trec.read_queries(spark, asked, strict=False)) == [("007", "a query")]
+    with pytest.raises(Exception, match="not a query line"):
+        trec.read_queries(spark, asked).collect()
 
 
 def test_epoch_map_files(spark, tmp_path):
