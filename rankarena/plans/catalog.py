@@ -395,17 +395,18 @@ def ensemble_scores_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ensemble_scores(spark, sf_dir, "joins")
 
 
-@query
-def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def load_vowel_scorer() -> neural.Scorer:
-        """Stands in for a model: two logits, the second one is the share of vowels in query and text."""
+def load_vowel_scorer() -> neural.Scorer:
+    """Stands in for a model: two logits, the second one is the share of vowels in query and text."""
 
-        def score(queries: list[str], texts: list[str]) -> np.ndarray:
-            inputs = [q + t for q, t in zip(queries, texts, strict=True)]
-            return np.array([[0.0, sum(map(i.count, "aeiou")) / len(i)] for i in inputs])
+    def score(queries: list[str], texts: list[str]) -> np.ndarray:
+        inputs = [q + t for q, t in zip(queries, texts, strict=True)]
+        return np.array([[0.0, sum(map(i.count, "aeiou")) / len(i)] for i in inputs])
 
-        return score
+    return score
 
+
+@query
+def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs_of = neural.query_document_pairs(_docs(spark, sf_dir), arena.queries_table(spark, sf_dir))
     return _rounded(neural.neural_scores(pairs_of, load_vowel_scorer, keep=["docno"]), ["score"])
 
@@ -430,17 +431,13 @@ def epoch_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return ranking.epoch_step(
         field=field,
-        candidates=arena.candidate_texts(spark, sf_dir, bot=ids.bot_name("tops")),
+        candidates=arena.candidate_texts(spark, sf_dir),
         queries=arena.queries_table(spark, sf_dir),
-        model=_text_only_model(spark),
+        model=arena.example_model(spark),
+        load_scorer=load_vowel_scorer,
     )
 
 
-def _text_only_model(spark: SparkSession) -> DataFrame:
-    """The trees that do not ask for the neural score: generated texts have no vector."""
-    return arena.example_model(spark).where(F.col("tree") == 2)
-
-
 @query
 def opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = arena.epoch_history(spark, sf_dir, bot_type="all")

@@ -139,22 +139,20 @@ def epoch_history(spark: SparkSession, sf_dir: str, *, bot_type: str, markov: bo
     )
 
 
-def candidate_texts(spark: SparkSession, sf_dir: str, *, bot: str) -> DataFrame:
-    """One generated text for some (query, epoch) fields: answers found in conversations."""
+def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated text for each answer in conversations, as that of a bot of its own."""
     n_queries = _number_of(table(spark, sf_dir, "benchmark"))
-    answers = (
+    return (
         table(spark, sf_dir, "conversations")
         .where(F.col("role") == "assistant")
         .withColumn("n_queries", n_queries)
         .select(
             F.format_string("%03d", F.expr("conv_id % n_queries")).alias("query_id"),
             F.expr("conv_id div n_queries").cast("int").alias("epoch"),
-            F.struct("conv_id", "turn").alias("place"),
+            F.format_string("BOT%d.%d", "conv_id", "turn").alias("bot"),
             "text",
         )
     )
-    chosen = answers.groupBy("query_id", "epoch").agg(F.min_by("text", "place").alias("text"))
-    return chosen.select("query_id", "epoch", F.lit(bot).alias("bot"), "text")
 
 
 def topics_table(spark: SparkSession, sf_dir: str) -> DataFrame:

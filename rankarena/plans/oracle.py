@@ -188,7 +188,6 @@ _TREES = """
       ELSE (CASE WHEN f26 <= 0.55 THEN 0.75 ELSE 1.25 END) END
  + CASE WHEN f1 <= 2.5 THEN -0.25 ELSE (CASE WHEN f26 <= 0.35 THEN 0.0625 ELSE 0.5 END) END
  + CASE WHEN f3 <= 300.5 THEN 0.03125 ELSE (CASE WHEN f7 <= 3.5 THEN -0.125 ELSE 0.25 END) END)::DOUBLE"""
-_TEXT_TREE = "CASE WHEN f3 <= 300.5 THEN 0.03125 ELSE (CASE WHEN f7 <= 3.5 THEN -0.125 ELSE 0.25 END) END"
 
 
 def _history(bot: str) -> str:
@@ -274,22 +273,29 @@ budgets AS (
 
 _EPOCH_STEP = f"""
 WITH {COMP},
-answers AS (
+accepted AS (
   SELECT printf('%03d', conv_id % (SELECT count(*) FROM benchmark)) AS query_id,
-         (conv_id // (SELECT count(*) FROM benchmark))::INTEGER AS epoch, text
-  FROM conversations WHERE role = 'assistant'
-  QUALIFY row_number() OVER (
-    PARTITION BY conv_id % (SELECT count(*) FROM benchmark), conv_id // (SELECT count(*) FROM benchmark)
-    ORDER BY conv_id, turn) = 1),
-accepted AS (SELECT * FROM answers WHERE len(regexp_extract_all(text, '\\S+')) <= 150),
+         (conv_id // (SELECT count(*) FROM benchmark))::INTEGER AS epoch, 'BOT' || conv_id || '.' || turn AS bot, text
+  FROM conversations WHERE role = 'assistant' AND len(regexp_extract_all(text, '\\S+')) <= 150),
 members AS (
-  SELECT c.query_id, c.round_number AS epoch, 'NMTBOT' AS bot, c.author_id, c.text
+  SELECT c.query_id, c.round_number AS epoch, a.bot, c.author_id, c.text
   FROM comp c JOIN accepted a ON a.query_id = c.query_id AND a.epoch = c.round_number
-  UNION ALL SELECT query_id, epoch, 'NMTBOT', 'NMTBOT', text FROM accepted),
-{_features('''SELECT query_id || '/' || epoch || '/' || author_id AS docno, query_id,
-              query_id || '/' || epoch AS s, text FROM members''')}
-SELECT m.*, (row_number() OVER (PARTITION BY m.query_id, epoch ORDER BY {_TEXT_TREE} DESC, author_id))::INTEGER AS rank
-FROM members m JOIN feats ON feats.docno = m.query_id || '/' || epoch || '/' || author_id"""
+  UNION ALL SELECT query_id, epoch, bot, bot, text FROM accepted),
+named AS (SELECT *, query_id || '/' || epoch || '/' || bot AS s FROM members),
+shares AS (
+  SELECT s, author_id, query || text AS pair,
+         (length(pair) - length(regexp_replace(pair, '[aeiou]', '', 'g')))::DOUBLE / length(pair) AS x
+  FROM named JOIN topics USING (query_id)),
+logs AS (SELECT s, author_id, x - ln(1 + exp(x)) AS score FROM shares),
+scaled AS (
+  SELECT s || '/' || author_id AS docno,
+         coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS f26
+  FROM logs WINDOW w AS (PARTITION BY s)),
+{_features("SELECT s || '/' || author_id AS docno, query_id, s, text FROM named")}
+SELECT query_id, epoch, bot, author_id, text,
+       (row_number() OVER (PARTITION BY n.s ORDER BY {_TREES} DESC, author_id))::INTEGER AS rank
+FROM named n JOIN (SELECT * EXCLUDE (query_id) FROM feats) feats ON feats.docno = n.s || '/' || author_id
+JOIN scaled ON scaled.docno = feats.docno"""
 
 
 _ENSEMBLE_SCORES = f"""
