@@ -1,7 +1,8 @@
 """Token ids in training order: fixed-stride binary shards that are read sequentially and resumed anywhere.
 
 Texts are tokenized once and packed, task by task, into sequences of ``length`` ids, with a separator after each text; the
-last sequence of a task is filled up with separators. Sequences are numbered through all tasks, and a keyed Feistel
+last sequence of a task is filled up with separators. They are written as they are, compressed across neighbours; on their
+way to their slots each is compressed by itself, with a dictionary from a bounded sample of them. Sequences are numbered through all tasks, and a keyed Feistel
 permutation of those numbers (walking cycles until a number falls inside the range) gives each its slot, so the order is
 known without a sort of random keys, for any number of sequences. Rows are dealt into ranges of slots and sorted, and
 each shard of ``per_shard`` slots is a file of unsigned 16-bit ids in which slot s starts at a multiple of the stride.
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankarena.llm.bpe import SPLIT
-from rankarena.sources.scratch import written
+from rankarena.sources.scratch import scratch_path, written
 
 LENGTH = 1024
 PER_SHARD = 4096
 KEY = 20240229
 ROUNDS = 6
+#: Sequences that the dictionary for shuffled ones is made from, and its bytes. They change sizes, never results.
+SAMPLED, DICTIONARY_BYTES = 2000, 112_640
+LEVEL = 6
 SEPARATOR = 50256
 
 
@@ -61,11 +65,11 @@ def slots_of(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, *, file: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(part, k, doc_ids, n_tokens, body): packed sequences; the body is compressed."""
+    """(part, k, doc_ids, n_tokens, body): packed sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        encode, pack = encoder(file).encode_ordinary, zstandard.ZstdCompressor(level=1).compress
+        encode = encoder(file).encode_ordinary
         held: list[int] = []
         owners: list[tuple[int, int | None]] = []  # how many of the held ids come before a text, and its identifier
 
@@ -77,7 +81,7 @@ def sequences(docs: DataFrame, *, file: str, id_col: str = "doc_id", text_col: s
                 inside = [i for at, i, end in zip((a for a, _ in owners), (i for _, i in owners), [*(a for a, _ in owners[1:]), len(held)], strict=True) if at < stop and end > start]
                 body = np.full(length, SEPARATOR, "<u2")
                 body[: len(ids)] = ids
-                yield {"part": part, "k": k, "doc_ids": inside, "n_tokens": len(ids), "body": pack(body.tobytes())}
+                yield {"part": part, "k": k, "doc_ids": inside, "n_tokens": len(ids), "body": body.tobytes()}
                 k, start = k + 1, stop
             kept = [(max(at - start, 0), i) for (at, i), end in zip(owners, [*(a for a, _ in owners[1:]), len(held)], strict=True) if end > start]
             held, owners = held[start:], kept
@@ -101,25 +105,45 @@ def sequences(docs: DataFrame, *, file: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, "part bigint, k bigint, doc_ids array<bigint>, n_tokens bigint, body binary")
 
 
+def dictionary_of(packed: DataFrame) -> bytes:
+    """A compression dictionary; empty if there are too few sequences for one."""
+    samples = [bytes(row["body"]) for row in packed.select("body").limit(SAMPLED).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def write_shards(
     docs: DataFrame, path: str, *, file: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     per_shard: int = PER_SHARD, key: int = KEY
 ) -> DataFrame:
     """Write the shards under ``path``; one row per sequence: slot, shard, offset, n_tokens, doc_ids and sha256."""
-    packed = written(sequences(docs, file=file, id_col=id_col, text_col=text_col, length=length), "sequences")
+    spark = docs.sparkSession
+    made = sequences(docs, file=file, id_col=id_col, text_col=text_col, length=length)
+    place = scratch_path(spark, "sequences")
+    made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(place)
+    packed = spark.read.schema(made.schema).parquet(place)
     # One row for each task that has packed.
     parts = packed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(parts.select("part", "n", before.alias("before")), "starts")
     total = starts.agg(F.sum("n")).first()[0] or 0
 
-    @F.pandas_udf("bigint")
-    def slot(numbers):  # noqa: ANN001, ANN202
-        import pandas as pd
+    trained = dictionary_of(packed)
 
-        return pd.Series(slots_of(numbers.to_numpy(), total, key))
+    def shared() -> zstandard.ZstdCompressionDict | None:
+        return zstandard.ZstdCompressionDict(trained) if trained else None
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared()).compress
+        for batch in batches:
+            slots = pa.array(slots_of(batch.column("number").to_numpy(), total, key))
+            bodies = pa.array([pack(body.as_buffer()) for body in batch.column("body")], pa.binary())
+            yield pa.RecordBatch.from_arrays([slots, batch.column("n_tokens"), batch.column("doc_ids"), bodies], ["slot", "n_tokens", "doc_ids", "body"])
 
-    numbered = packed.join(F.broadcast(starts), "part").withColumn("slot", slot(F.col("before") + F.col("k")))
+    placed = packed.join(F.broadcast(starts), "part").select((F.col("before") + F.col("k")).alias("number"), "n_tokens", "doc_ids", "body")
+    numbered = placed.mapInArrow(number, "slot bigint, n_tokens bigint, doc_ids array<bigint>, body binary")
     ranged = numbered.withColumn("shard", F.floor(F.col("slot") / per_shard)).select("slot", "shard", "n_tokens", "doc_ids", "body")
     sorted_rows = ranged.repartitionByRange(1 + total // per_shard, "shard").sortWithinPartitions("slot")
     store, root = fs.FileSystem.from_uri(path)
@@ -128,7 +152,7 @@ def write_shards(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor(dict_data=shared()).decompress
         shard, out, temporary = None, None, ""
 
         def close() -> None:
