@@ -1,12 +1,14 @@
 """Queries over the test tables, one or more for each operator of the library."""
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankarena import schema
+from rankarena.fixed_values import BOT_NAMES
 from rankarena.functions import ids, scores, text
 from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, terms
 from rankarena.plans import competition as arena
@@ -444,7 +446,7 @@ def opponents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.opponents(states).select("query_id", "epoch", "author_id", "rank")
 
 
-def _history_prompts(spark: SparkSession, sf_dir: str, bot_type: str, markov: bool, epoch: int | None) -> DataFrame:
+def _history_prompts(spark: SparkSession, sf_dir: str, bot_type: str, markov: bool, epoch: int | str | None) -> DataFrame:
     return prompts.history_prompts(
         arena.epoch_history(spark, sf_dir, bot_type=bot_type, markov=markov),
         corpus.reference_texts(arena.competition(spark, sf_dir)),
@@ -471,29 +473,39 @@ def history_prompts_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_prompts_all_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history_prompts(spark, sf_dir, "all", True, 3)
+    return _history_prompts(spark, sf_dir, "all", True, prompts.EVERY)
 
 
 @query
 def history_prompts_tops_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history_prompts(spark, sf_dir, "tops", True, 3)
+    return _history_prompts(spark, sf_dir, "tops", True, prompts.EVERY)
 
 
 @query
 def history_prompts_self_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history_prompts(spark, sf_dir, "self", True, 3)
+    return _history_prompts(spark, sf_dir, "self", True, prompts.EVERY)
+
+
+@query
+def history_prompts_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six bots and all epochs, from one written table of states."""
+    path = scratch_path(spark, "states")
+    histories = [arena.epoch_history(spark, sf_dir, bot_type=kind, markov=markov) for markov, kind in BOT_NAMES]
+    sinks.write_epoch_states(reduce(DataFrame.unionByName, histories), path)
+    references = corpus.reference_texts(arena.competition(spark, sf_dir))
+    return prompts.all_prompts(tables.read_epoch_states(spark, path), references)
 
 
 @query
 def prompt_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.token_budgets(_history_prompts(spark, sf_dir, "all", True, 3))
+    return prompts.token_budgets(_history_prompts(spark, sf_dir, "all", True, prompts.EVERY))
 
 
 @query
 def sendable_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = prompts.sendable_prompts(_history_prompts(spark, sf_dir, "all", True, 3))
+    packed = prompts.sendable_prompts(_history_prompts(spark, sf_dir, "all", True, prompts.EVERY))
     told = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
-    return packed.select("query_id", "bot", "epoch", "max_tokens", told.alias("conversation"))
+    return packed.select("query_id", "bot", "epoch", "max_tokens", "skipped", told.alias("conversation"))
 
 
 @query

@@ -1,6 +1,7 @@
 """The catalog's queries in ANSI SQL, written independently of the Spark code, for comparison on DuckDB."""
 
 from rankarena.fixed_values import (
+    BOT_NAMES,
     CONTESTANT_INTRO,
     FINE_TUNE_PROMPT,
     GENERATE_REQUEST,
@@ -209,47 +210,53 @@ _LITERAL = (
 ).replace('\\"', '"')
 
 
-def _prompt_rows(bot_type: str, bot: str, markov: bool, epoch: int | None) -> str:
+def _prompt_rows(bot_type: str, bot: str, markov: bool, epoch: int | str | None) -> str:
     per_epoch = 3 if bot_type == "self" else 4
     first = "(target - 1)" if markov else "1"
     rows = [
-        "SELECT query_id, start AS seq, 0 AS part, 'assistant' AS role, text AS content FROM own",
-        f"SELECT query_id, start + 1, 0, 'system', {_filled(OWN_RANK, 'rank', _SUFFIX.format('rank'))} FROM own",
-        f"SELECT query_id, start + {per_epoch - 1}, 0, 'user', {_quoted(GENERATE_REQUEST)} FROM own",
-        f"SELECT query_id, 0, 0, 'system', {_quoted(CONTESTANT_INTRO)} FROM refs",
-        f"SELECT query_id, 1, 0, 'system', {_filled(QUERIES_INTRO, '1', 'query')} FROM refs",
-        f"SELECT query_id, 2, 0, 'system', {_quoted(GOAL_INTRO)} FROM refs",
-        f"SELECT query_id, 3, 0, 'system', {_filled(REFERENCE_TEXT_INTRO, 'reference_text')} FROM refs",
-        f"SELECT query_id, 4, 0, 'user', {_quoted(GENERATE_REQUEST)} FROM refs",
+        "SELECT query_id, target, start AS seq, 0 AS part, 'assistant' AS role, text AS content FROM own",
+        f"SELECT query_id, target, start + 1, 0, 'system', {_filled(OWN_RANK, 'rank', _SUFFIX.format('rank'))} FROM own",
+        f"SELECT query_id, target, start + {per_epoch - 1}, 0, 'user', {_quoted(GENERATE_REQUEST)} FROM own",
+        f"SELECT query_id, target, 0, 0, 'system', {_quoted(CONTESTANT_INTRO)} FROM refs, targets",
+        f"SELECT query_id, target, 1, 0, 'system', {_filled(QUERIES_INTRO, '1', 'query')} FROM refs, targets",
+        f"SELECT query_id, target, 2, 0, 'system', {_quoted(GOAL_INTRO)} FROM refs, targets",
+        f"SELECT query_id, target, 3, 0, 'system', {_filled(REFERENCE_TEXT_INTRO, 'reference_text')} FROM refs, targets",
+        f"SELECT query_id, target, 4, 0, 'user', {_quoted(GENERATE_REQUEST)} FROM refs, targets",
     ]
     if bot_type == "tops":
         rows.append(
-            f"SELECT query_id, start + 2, 0, 'system', {_filled(TOP_DOCUMENT, 'text')} FROM past WHERE rank = 1"
+            f"SELECT query_id, target, start + 2, 0, 'system', {_filled(TOP_DOCUMENT, 'text')} FROM past WHERE rank = 1"
         )
     if bot_type == "all":
         opening = _quoted(OPPONENTS_INTRO).replace("\n", "' || chr(10) || '")
         rows += [
-            f"SELECT query_id, start + 2, 0, 'system', {opening} || '{{' FROM own",
-            "SELECT query_id, start + 2, 2147483647, 'system', '}' FROM own",
-            "SELECT query_id, start + 2, 3, 'system', ', ' FROM own WHERE rank > 2",
-            "SELECT query_id, start + 2, 2 * rank, 'system', "
+            f"SELECT query_id, target, start + 2, 0, 'system', {opening} || '{{' FROM own",
+            "SELECT query_id, target, start + 2, 2147483647, 'system', '}' FROM own",
+            "SELECT query_id, target, start + 2, 3, 'system', ', ' FROM own WHERE rank > 2",
+            "SELECT query_id, target, start + 2, 2 * rank, 'system', "
             f"CASE WHEN rank > 2 THEN ', ' ELSE '' END || 'ranked ' || rank || ': ' || {_LITERAL.format('text')} "
             rf"|| '\n\n' FROM past WHERE author_id <> '{bot}'",
         ]
-    target = str(epoch) if epoch is not None else "(SELECT max(epoch) + 1 FROM history)"
+    if epoch == "every":
+        targets = "SELECT unnest(range(1, (SELECT max(epoch) + 2 FROM history))) AS target"
+    elif epoch is None:
+        targets = "SELECT max(epoch) + 1 AS target FROM history"
+    else:
+        targets = f"SELECT {epoch} AS target"
     return f"""
 {_history(bot)},
-staged AS (SELECT *, {target} AS target FROM history),
+targets AS ({targets}),
+staged AS (SELECT * FROM history, targets),
 past AS (SELECT *, 5 + (epoch - {first}) * {per_epoch} AS start FROM staged
          WHERE epoch >= {first} AND epoch < target),
 own AS (SELECT * FROM past WHERE author_id = '{bot}'),
 message_rows AS ({" UNION ALL ".join(rows)}),
 prompt_rows AS (
-  SELECT query_id, '{bot}' AS bot, ({target})::INTEGER AS epoch, seq::INTEGER AS seq, part::INTEGER AS part,
+  SELECT query_id, '{bot}' AS bot, target::INTEGER AS epoch, seq::INTEGER AS seq, part::INTEGER AS part,
          role, content FROM message_rows)"""
 
 
-def _history_prompts(bot_type: str, bot: str, markov: bool = False, epoch: int | None = None) -> str:
+def _history_prompts(bot_type: str, bot: str, markov: bool = False, epoch: int | str | None = None) -> str:
     return f"WITH {COMP}, {_prompt_rows(bot_type, bot, markov, epoch)} SELECT * FROM prompt_rows"
 
 
@@ -454,20 +461,25 @@ SELECT query_id, round_number + 1 AS epoch, author_id, pos AS rank FROM comp WHE
     "history_prompts_all": _history_prompts("all", "NMABOT"),
     "history_prompts_tops": _history_prompts("tops", "NMTBOT"),
     "history_prompts_self": _history_prompts("self", "NMSBOT"),
-    "history_prompts_all_markov": _history_prompts("all", "MABOT", True, 3),
-    "history_prompts_tops_markov": _history_prompts("tops", "MTBOT", True, 3),
-    "history_prompts_self_markov": _history_prompts("self", "MSBOT", True, 3),
+    "history_prompts_all_markov": _history_prompts("all", "MABOT", True, "every"),
+    "history_prompts_tops_markov": _history_prompts("tops", "MTBOT", True, "every"),
+    "history_prompts_self_markov": _history_prompts("self", "MSBOT", True, "every"),
+    "history_prompts_every": f"WITH {COMP} "
+    + " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_prompt_rows(kind, bot, markov, 'every')} SELECT * FROM prompt_rows)"
+        for (markov, kind), bot in BOT_NAMES.items()
+    ),
     "prompt_budgets": f"""
-WITH {COMP}, {_prompt_rows("all", "MABOT", True, 3)}, {_BUDGETS}
+WITH {COMP}, {_prompt_rows("all", "MABOT", True, "every")}, {_BUDGETS}
 SELECT query_id, bot, epoch, prompt_tokens, max_tokens, max_tokens <= 0 AS skipped FROM budgets""",
     "sendable_prompts": f"""
-WITH {COMP}, {_prompt_rows("all", "MABOT", True, 3)}, {_BUDGETS},
+WITH {COMP}, {_prompt_rows("all", "MABOT", True, "every")}, {_BUDGETS},
 messages AS (
   SELECT query_id, bot, epoch, seq, role, string_agg(content, '' ORDER BY part) AS content
   FROM prompt_rows GROUP BY ALL)
-SELECT query_id, bot, epoch, max_tokens,
-       string_agg(role || ': ' || content, chr(10) ORDER BY seq) AS conversation
-FROM messages JOIN budgets USING (query_id, bot, epoch) WHERE max_tokens > 0 GROUP BY ALL""",
+SELECT query_id, bot, epoch, max_tokens, max_tokens <= 0 AS skipped,
+       CASE WHEN max_tokens > 0 THEN string_agg(role || ': ' || content, chr(10) ORDER BY seq) END AS conversation
+FROM messages JOIN budgets USING (query_id, bot, epoch) GROUP BY query_id, bot, epoch, max_tokens""",
     "initial_prompts": f"""
 WITH {_TOPIC_ROWS} SELECT topic_id, description, {_TOPIC_PROMPT} AS prompt FROM topic_rows""",
     "resume_anti_join": f"""

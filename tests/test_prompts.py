@@ -28,32 +28,38 @@ def references(spark):
     return spark.createDataFrame([("001", "a query", "reference")], "query_id string, query string, reference_text string")
 
 
+REQUEST = ("user", "Generate a single text that addresses the information need for all queries.")
+OPENING = [
+    ("system", "You are a contestant in an information retrieval SEO competition."),
+    ("system", "The competition involves 1 queries: a query"),
+    ("system", "The goal is to have your document be ranked 1st (first) and win in the ranking done by a black "
+               "box ranker in every single epoch."),
+    ("system", "All contestants got an initial reference text: 'reference'."),
+    REQUEST,
+]
+FIRST = [("assistant", "my first\ntext"), ("system", "You were ranked 3rd in this epoch")]
+SECOND = [("assistant", "my second text"), ("system", "You were ranked 1st in this epoch")]
+TOLD = "The ranked documents of your opponents in this epoch are as follows:\n "
+# What is told of epochs 1 and 2, by kind of bot.
+EPOCHS = {
+    "self": ([*FIRST, REQUEST], [*SECOND, REQUEST]),
+    "tops": (
+        [*FIRST, ("system", "The document ranked 1 in this epoch was: it's \"quoted\""), REQUEST],
+        [*SECOND, ("system", "The document ranked 1 in this epoch was: my second text"), REQUEST],
+    ),
+    "all": (
+        [
+            *FIRST,
+            ("system", TOLD + r"{ranked 1: it\s quoted\n\n, ranked 2: back\\slash, its\n\n}"),
+            REQUEST,
+        ],
+        [*SECOND, ("system", TOLD + r"{ranked 2: plain\n\n, ranked 3: tab\there\n\n}"), REQUEST],
+    ),
+}
+
+
 def expected_messages(kind, epochs):
-    request = "Generate a single text that addresses the information need for all queries."
-    messages = [
-        ("system", "You are a contestant in an information retrieval SEO competition."),
-        ("system", "The competition involves 1 queries: a query"),
-        ("system", "The goal is to have your document be ranked 1st (first) and win in the ranking done by a black "
-                   "box ranker in every single epoch."),
-        ("system", "All contestants got an initial reference text: 'reference'."),
-        ("user", request),
-    ]
-    suffix = {1: "st", 2: "nd", 3: "rd"}
-    for e in epochs:
-        rank = RANKS[(e, "BOT")]
-        messages += [("assistant", TEXTS[(e, "BOT")]), ("system", f"You were ranked {rank}{suffix[rank]} in this epoch")]
-        others = sorted((r, a) for (x, a), r in RANKS.items() if x == e and a != "BOT")
-        if kind == "all":
-            listing = str({f"ranked {r}": TEXTS[(e, a)] + "\n\n" for r, a in others})
-            listing = listing.replace("'", "").replace('"', "")
-            messages.append(
-                ("system", f"The ranked documents of your opponents in this epoch are as follows:\n {listing}")
-            )
-        if kind == "tops":
-            top = next(a for (x, a), r in RANKS.items() if x == e and r == 1)
-            messages.append(("system", f"The document ranked 1 in this epoch was: {TEXTS[(e, top)]}"))
-        messages.append(("user", request))
-    return messages
+    return OPENING + [message for e in epochs for message in EPOCHS[kind][e - 1]]
 
 
 @pytest.mark.parametrize("kind", ["all", "tops", "self"])
@@ -75,13 +81,33 @@ def test_history_prompts(spark, kind, markov, epoch):
     assert [(m.role, m.content) for m in packed.messages] == expected_messages(kind, epochs)
 
 
+@pytest.mark.parametrize("kind", ["all", "tops", "self"])
+@pytest.mark.parametrize("markov", [False, True])
+def test_every_epoch_at_once(spark, kind, markov):
+    states = history(spark, bot_name(kind, markov))
+    several = prompts.history_prompts(states, references(spark), bot_type=kind, markov=markov, epoch=prompts.EVERY)
+    columns = several.columns
+    one_by_one = [
+        r
+        for epoch in (1, 2, 3)
+        for r in rows(
+            prompts.history_prompts(states, references(spark), bot_type=kind, markov=markov, epoch=epoch), *columns
+        )
+    ]
+    assert sorted(rows(several, *columns)) == sorted(one_by_one)
+    # The other bots have no states, so they have no prompts.
+    assert sorted(rows(prompts.all_prompts(states, references(spark)), *columns)) == sorted(one_by_one)
+
+
 def test_prompts_that_do_not_fit_are_flagged(spark):
     made = prompts.history_prompts(history(spark, "NMABOT"), references(spark), bot_type="all")
     short = made.select("query_id", "bot", "epoch", "seq", "part", "role", "content")
     long = short.where("seq = 0").withColumn("query_id", F.lit("002")).withColumn("content", F.repeat(F.lit("x"), 20000))
     both = short.unionByName(long)
     assert rows(prompts.token_budgets(both), "query_id", "skipped") == [("001", False), ("002", True)]
-    assert rows(prompts.sendable_prompts(both), "query_id") == [("001",)]
+    packed = {r.query_id: r for r in prompts.sendable_prompts(both).collect()}
+    assert (packed["001"].skipped, packed["002"].skipped, packed["002"].messages) == (False, True, None)
+    assert len(packed["001"].messages) == 13
     counted = prompts.token_budgets(long, tokens=F.lit(3247)).first()
     assert (counted.prompt_tokens, counted.max_tokens, counted.skipped) == (3247, 600, False)
 
