@@ -19,11 +19,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents lie in a tree of directories: their source, then thousands, then fifties of identifiers."""
-    docs = table(spark, sf_dir, "documents").withColumn(
-        "path", F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 50"), "doc_id")
-    )
-    return licenses.scan(docs)
+    """Documents lie in a tree of directories: their source, then thousands, then fifties of identifiers.
+
+    Every fifth is called a licence file, half of these one directory higher; those with a notice speak for their directory.
+    """
+    thousand, fifty = F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 50").cast("string")
+    called = F.concat(F.when(F.expr("doc_id % 5 = 0"), "LICENSE-").otherwise(""), F.col("doc_id").cast("string"))
+    above = F.concat_ws("/", "source", thousand, F.when(F.expr("doc_id % 10 = 0"), None).otherwise(fifty), called)
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", above))
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Every line of every text that speaks of a licence is a notice. Its terms are weighted by frequency and by inverse
 frequency over the notices of all texts, and its cosine with each template is a join on terms, so only terms that occur
-are ever multiplied. A text takes the template of its most similar notice, if similar enough. A text that opens with its
-notice is a licence file and speaks for its directory. Texts without a notice of their own inherit from the nearest
-directory above them that has a licence: this is worked out once for each directory and then joined.
+are ever multiplied. A text takes the template of its most similar notice, if similar enough. A licence file speaks for
+its directory: a text with a licence whose file is named as one, or that opens with a notice (after blank lines or a
+heading set off by one) and of whose terms notices of licences make at least ``SHARE``. Texts without a licence of their own
+inherit from the nearest directory above them that has one: this is worked out once for each directory and then joined.
 
 Defined results: a null or empty text has no notice. Equal similarities go to the first template by name; of several
 licence files in a directory the most similar one counts, then the first by name. A null path has no directory and
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.6
+#: Of the terms of a licence file whose name doesn't tell, so many belong to notices.
+SHARE = 0.5
 
 # Openings of licence notices.
 TEMPLATES = {
@@ -28,6 +31,11 @@ TEMPLATES = {
 }
 NOTICE = r"(?i)licen[sc]e|copyright|spdx"
 TERM = r"[a-z0-9.]*[a-z0-9]"
+#: A notice on the first line that isn't blank, or on the next one after a heading and a blank line.
+OPENING = r"(?i)\A\s*+(?:[^\n]++\n[^\S\n]*+\n\s*+)?[^\n]*(?:licen[sc]e|copyright|spdx)"
+#: Names of licence files; source files may be called so, too.
+FILE_NAME = r"(?i)(^|[-_./])(un)?(licen[sc]es?|copying|copyright|copyleft|notice)([-_.][^/]*)?$"
+SOURCE_NAME = r"(?i)\.(py|c|cc|cpp|h|hpp|cs|go|java|js|jsx|kt|php|pl|rb|rs|scala|sh|swift|ts|tsx|json|toml|xml|ya?ml)$"
 
 
 def _terms(text):  # noqa: ANN001, ANN202
@@ -73,14 +81,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
         F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"),
     )
     # Equal texts have equal notices: each text is looked at once.
-    texts = notices(rows, text_col="text", keys=["h"]).groupBy("h", "line").agg(F.first("terms").alias("terms"))
+    speaking = rows.where(F.col("text").rlike(NOTICE)).groupBy("h").agg(F.first("text").alias("text"))
+    texts = notices(speaking, text_col="text", keys=["h"])
     scored = similarities(texts, keys=["h"]).where(F.col("similarity") >= least)
     best = F.max_by(F.struct("license", "line", "similarity"), F.struct("similarity", -F.col("line")))
     ranked = scored.groupBy("h", "line").agg(F.max("similarity").alias("similarity"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("license"))
     own = ranked.groupBy("h").agg(best.alias("own")).select("h", "own.*")
-    found = rows.drop("text").join(own, "h", "left")
+    covered = texts.join(ranked.select("h", "line"), ["h", "line"]).groupBy("h").agg(F.sum(F.size("terms")).alias("covered"))
+    mostly = F.col("covered") >= SHARE * F.size(_terms(F.col("text")))
+    whole = speaking.where(F.col("text").rlike(OPENING)).join(covered, "h").select("h", mostly.alias("mostly"))
+    found = rows.drop("text").join(own.join(whole, "h", "left"), "h", "left")
 
-    speaks = found.where("line = 0 AND path IS NOT NULL")
+    named = F.col("path").rlike(FILE_NAME) & ~F.col("path").rlike(SOURCE_NAME)
+    speaks = found.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (named | F.coalesce("mostly", F.lit(False))))
     by_dir = speaks.groupBy("dir").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("best")).select(
         F.col("dir").alias("above"), F.col("best.license").alias("inherited"), F.lit(True).alias("_known")
     )

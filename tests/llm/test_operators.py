@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from rankarena.llm import catalog as llm_catalog
 from rankarena.llm import (
     bpe, decontaminate, exact_dedup, fm_index, jaccard_join, language_id, licenses, quality, secrets, token_shards, warc,
 )
@@ -249,6 +250,22 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_files_are_told_by_name_and_by_share(spark):
+    mit = "Released under the MIT License."
+    rows = [("a/COPYING.txt", "\n\nOur project\nwith words\n" + mit), ("a/x", "plain"), ("b/about", f"\n\nThe project\n\n{mit}"), ("b/x", "plain"),
+            ("c/about", "Copyright notice of ours\n" + mit), ("c/x", "plain"), ("d/main", f"{mit}\n" + "many other words follow " * 9), ("d/x", "plain"),
+            ("e/license.py", "words\n" + mit), ("e/x", "plain")]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows)], "doc_id bigint, path string, text string")
+    found = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(docs).collect()}
+    assert {p: found[p] for p in found if p.endswith("/x")} == {
+        "a/x": ("MIT", "inherited"), "b/x": ("MIT", "inherited"), "c/x": ("MIT", "inherited"), "d/x": (None, "none"), "e/x": (None, "none")}
+
+
+def test_license_query_has_rows_that_inherit(spark):
+    origins = dict(llm_catalog.op2_licenses(spark, "/root/testdata/sf0.01").groupBy("origin").count().collect())
+    assert origins["inherited"] > 0 and origins["own"] > 0
+
+
 def test_token_shards_hold_every_sequence_once(spark, tmp_path):
     for total in (1, 2, 7, 1000):
         assert sorted(token_shards.slots_of(np.arange(total), total).tolist()) == list(range(total))
