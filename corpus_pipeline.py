@@ -1,6 +1,7 @@
 """A training corpus in five stages: quality, exact copies, near copies, benchmark passages, tokens."""
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ def different_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def dissimilar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest identifier."""
-    return jaccard_join.one_of_each(docs)
+    """Of each group of near copies (five-word shingles, similarity from 0.8) the one with the smallest identifier."""
+    return jaccard_join.one_of_each(docs, words=5, similarity=Fraction(80, 100))
 
 
 def unseen_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

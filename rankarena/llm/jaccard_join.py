@@ -445,8 +445,12 @@ def _across_blocks(bodies: DataFrame, links: DataFrame, similarity: Fraction) ->
     return written(links.unionByName(_block_links(rows, ["comp", "row_part", "column_part"], similarity)), "links")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
+    similarity: Fraction = SIMILARITY
+) -> DataFrame:
     """The rows of ``docs`` without those whose group has a smaller identifier; rows that share one go together."""
-    groups = written(jaccard_groups(docs, id_col=id_col, text_col=text_col), "groups")
+    found = jaccard_groups(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    groups = written(found, "groups")
     gone = groups.where("component_id IS NOT NULL AND NOT component_id <=> " + f"`{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")

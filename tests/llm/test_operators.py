@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from rankarena.llm import catalog as llm_catalog
 from rankarena.llm import (
     bpe, decontaminate, exact_dedup, fm_index, jaccard_join, language_id, licenses, quality, secrets, token_shards, warc,
@@ -105,6 +106,15 @@ def test_jaccard_of_no_rows(spark):
     assert jaccard_join.jaccard_groups(frame(spark, ["a b"]).limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_by_five_words_and_eight_tenths(spark):
+    words = [f"w{k}" for k in range(100)]
+    # On five words 96/116 = 0.828 is linked and 96/121 = 0.793 isn't; on four words the first has 97/117 = 0.829.
+    texts = [" ".join(words), " ".join(words + [f"x{k}" for k in range(20)]), " ".join([*reversed(words)]), " ".join([*reversed(words), *[f"y{k}" for k in range(25)]])]
+    docs = frame(spark, texts)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dissimilar_texts(spark, docs, "").collect()) == [0, 2, 3]
+    assert jaccard_join.one_of_each(docs).count() == 4
+
+
 def test_linked_segments_are_never_missed():
     rng, sizes = np.random.default_rng(5), jaccard_join.Sizes(jaccard_join.SIMILARITY)
     for size in (1, 5, 6, 7, 12, 40, 200):
