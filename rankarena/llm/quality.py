@@ -4,14 +4,15 @@ Counts are tables. The highest order has raw counts of the trusted texts; each l
 extensions of an n-gram in the order above. For every n-gram that any document has, its probability is built from the
 lowest order up by joins with counts and contexts, all keyed by n-gram and so spread over shards. Documents are dealt
 into shards of bounded size; a shard asks for the n-grams it has, once each, and sums their log probabilities into
-a perplexity for each document. A document is rejected if its perplexity is over its language's threshold by enough
-evidence: its bytes together must be ``SLACK_NATS`` less likely than at the threshold, so that a few odd words alone
-don't reject a short text.
+a perplexity for each document. What is repeated looks likely to the model, so a second measure stands beside it: the
+repetition of a document, its bytes by different n-grams in windows of ``WINDOW`` bytes. A document is rejected if either
+is over its language's threshold by enough evidence: bytes times the difference of logarithms must be over
+``SLACK_NATS``, so that an odd word alone doesn't reject a text of a few bytes.
 
 A quarter of the trusted texts, by hash, is left out of training; thresholds come from those: a quantile of each
-language, read from a histogram of log perplexities, plus a margin. A language with few of them uses all languages'.
+language, read from histograms of logarithms. A language with few of them uses all languages'.
 
-Defined results: a null or empty text has no perplexity and is not rejected; a null language is a language of its own.
+Defined results: a null or empty text has neither measure and is not rejected; a null language is a language of its own.
 An identifier is trusted if it is labelled and all its labels are good; rows that share it are trusted together. Without
 trusted texts nothing is rejected. Input columns of any name are kept in ``row``.
 """
@@ -31,15 +32,19 @@ ORDER = 5
 #: Bytes of text that are scored together.
 SHARD_BYTES = 16 << 20
 QUANTILE = 0.99
-#: How much more than the quantile, as a share of the perplexity.
-MARGIN = 0.10
+#: How much more than the quantile, as a share of the measure.
+MARGIN = 0.0
 #: Evidence against a text, in units of log probability, that is let pass.
-SLACK_NATS = 60.0
+SLACK_NATS = 30.0
+#: Bytes within which repeated n-grams are counted.
+WINDOW = 256
 #: Held-out trusted texts that a language needs for a threshold of its own.
 LEAST_TEXTS = 50
 CALIBRATION_FOLDS = 4
 #: Trusted identifiers are sent to all tasks up to this many (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Measures and the columns of their thresholds.
+MEASURES = {"perplexity": "threshold", "repetition": "repetition_threshold"}
 _BINS = 1000.0
 _PENDING = 1 << 21
 _PIECE_BODIES = 1 << 18
@@ -72,6 +77,18 @@ def unpacked(table: pa.Table) -> Iterator[pa.Array]:
             yield pa.array(texts, pa.binary()).cast(pa.string())
 
 
+def repetition(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text its bytes by different n-grams, counted anew in each window; ``places`` are numbers of n-grams."""
+    sizes = np.diff(offsets)
+    windows = -(-sizes // WINDOW)
+    before = np.cumsum(windows) - windows
+    window = np.repeat(before, sizes) + (np.arange(len(places)) - np.repeat(offsets[:-1], sizes)) // WINDOW
+    scale = int(places.max(initial=0)) + 1
+    owners = np.repeat(np.arange(len(sizes)), windows)[np.unique(window * scale + places) // scale]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return sizes / np.bincount(owners, minlength=len(sizes))
+
+
 class Counter:
     """Counts of numbers; what is added is merged from time to time."""
 
@@ -174,7 +191,8 @@ def perplexities(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     label_col: str = "quality", keep_text: bool = True, order: int = ORDER, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
-    """For each row: ``row`` (all columns but the text), ``text``, ``lang``, ``bytes``, ``perplexity``, ``calibrates``.
+    """For each row: ``row`` (all columns but the text), ``text``, ``lang``, ``bytes``, ``perplexity``,
+    ``repetition``, ``calibrates``.
 
     The perplexity is one of bytes. Without ``keep_text`` the text is null.
     """
@@ -214,32 +232,35 @@ def perplexities(
         keys, logp = known.column("g").to_numpy(), known.column("logp").to_numpy().astype(np.float64)
         by_key = np.argsort(keys)
         keys, logp = keys[by_key], logp[by_key]
-        found, sizes, kept = [np.zeros(0)], [np.zeros(0, np.int64)], []
+        found, repeats, sizes, kept = [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)], []
         for texts in unpacked(table):
             kept.append(texts)
             data, offsets = text_bytes(texts)
             sizes.append(np.diff(offsets))
-            logs = logp[np.searchsorted(keys, grams_of(data, offsets, order))] if len(data) else np.zeros(0)
-            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            places = np.searchsorted(keys, grams_of(data, offsets, order)) if len(data) else np.zeros(0, np.int64)
+            sums = np.concatenate(([0.0], np.cumsum(logp[places])))
+            repeats.append(repetition(places, offsets))
             with np.errstate(invalid="ignore", divide="ignore"):
                 found.append(np.exp(-np.diff(sums[offsets]) / sizes[-1]))
-        values = np.concatenate(found)
+        values, repeated = np.concatenate(found), np.concatenate(repeats)
         texts = pa.chunked_array(kept, pa.string()) if keep_text else pa.nulls(len(values), pa.string())
         return pa.Table.from_arrays(
             [table.column("row"), texts, table.column("lang"), pa.array(np.concatenate(sizes)),
-             pa.array(values, mask=np.isnan(values)), table.column("calibrates")],
-            ["row", "text", "lang", "bytes", "perplexity", "calibrates"],
+             pa.array(values, mask=np.isnan(values)), pa.array(repeated, mask=np.isnan(repeated)), table.column("calibrates")],
+            ["row", "text", "lang", "bytes", "perplexity", "repetition", "calibrates"],
         )
 
-    out_type = f"row {row_type}, text string, lang string, bytes bigint, perplexity double, calibrates boolean"
+    out_type = f"row {row_type}, text string, lang string, bytes bigint, perplexity double, repetition double, calibrates boolean"
     return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lean_cogroup(score), out_type)
 
 
-def thresholds(scored: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_TEXTS) -> DataFrame:
+def thresholds(
+    scored: DataFrame, *, measure: str = "perplexity", quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_TEXTS
+) -> DataFrame:
     """(lang, own) for each language with texts enough, and under a second flag the one for the others."""
     bins = (
-        scored.where("calibrates AND perplexity IS NOT NULL")
-        .select("lang", F.floor(F.log("perplexity") * _BINS).alias("bin"))
+        scored.where(F.col("calibrates") & F.col(measure).isNotNull())
+        .select("lang", F.floor(F.log(measure) * _BINS).alias("bin"))
         .cube("lang", "bin")
         .agg(F.count(F.lit(1)).alias("n"), F.grouping("lang").alias("all_langs"), F.grouping("bin").alias("all_bins"))
         .where("all_bins = 0")
@@ -257,23 +278,26 @@ def thresholds(scored: DataFrame, *, quantile: float = QUANTILE, margin: float =
 
 
 def judged(scored: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_TEXTS) -> DataFrame:
-    """``scored`` with ``threshold`` and ``kept``. ``scored`` is read twice and should be a written table."""
-    limits = written(thresholds(scored, quantile=quantile, margin=margin, least=least), "thresholds")
-    own = limits.where("all_langs = 0").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))
-    rest = limits.where("all_langs = 1").select(F.col("threshold").alias("_rest"))
-    # One row; without trusted texts none, and nothing is over the threshold then.
-    found = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(rest), F.lit(True), "left")
-    limit = F.coalesce("_own", "_rest")
-    kept = F.coalesce(F.col("bytes") * (F.log("perplexity") - F.log(limit)) <= SLACK_NATS, F.lit(True))
-    return found.select(*scored.columns, limit.alias("threshold"), kept.alias("kept"))
+    """``scored`` with a threshold for each measure, and ``kept``. ``scored`` is read several times and should be a written table."""
+    found, kept = scored, F.lit(True)
+    for measure, name in MEASURES.items():
+        limits = written(thresholds(scored, measure=measure, quantile=quantile, margin=margin, least=least), "thresholds")
+        own = limits.where("all_langs = 0").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))
+        rest = limits.where("all_langs = 1").select(F.col("threshold").alias("_rest"))
+        # One row; without trusted texts none, and nothing is over the threshold then.
+        met = found.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(rest), F.lit(True), "left")
+        found = met.select(*found.columns, F.coalesce("_own", "_rest").alias(name))
+        kept &= F.coalesce(F.col("bytes") * (F.log(measure) - F.log(name)) <= SLACK_NATS, F.lit(True))
+    return found.withColumn("kept", kept)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One narrow row per row of ``docs``: identifier, language, ``perplexity``, ``threshold`` and ``kept``."""
+    """One narrow row per row of ``docs``: identifier, language, both measures with their thresholds, and ``kept``."""
     narrow = docs.select(id_col, lang_col, text_col)
     scored = perplexities(narrow, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, keep_text=False)
     scored = written(scored.drop("text"), "perplexities")
-    return judged(scored).select(F.col(f"row.`{id_col}`").alias(id_col), "lang", "perplexity", "threshold", "kept")
+    columns = [c for pair in MEASURES.items() for c in pair]
+    return judged(scored).select(F.col(f"row.`{id_col}`").alias(id_col), "lang", *columns, "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", **columns: str) -> DataFrame:

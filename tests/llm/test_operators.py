@@ -250,6 +250,15 @@ def test_quality_rejects_noise_and_keeps_clean_texts(spark):
     assert all(r["kept"] for r in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_quality_rejects_repeated_words_and_short_noise(spark):
+    rng = random.Random(9)
+    clean = [" ".join(rng.choices([a + b for a in ("ri", "se", "an", "mo", "tu") for b in ("ver", "ast", "den", "il", "or")], k=60)) for _ in range(120)]
+    docs = frame(spark, [*clean, *[" ".join([clean[k].split()[0]] * 60) for k in range(5)], "#%&*QXZ$" * 2 + "!?=+<>^~"])
+    labels = spark.createDataFrame([(k, 1) for k in range(120)], "doc_id bigint, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
+    assert not any(kept[k] for k in range(120, 126)) and sum(kept[k] for k in range(120)) >= 118
+
+
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
     rows = [("a/LICENSE", "Released under the MIT License.\nmore"), ("a/b/x", "plain"), ("a/c/LICENSE", "Licensed under CC BY-NC 4.0."),
             ("a/c/d/e", "text\nno notice"), ("z/q", None), (None, "plain"), ("a/b/y", "x\nLicensed under the Apache License, Version 2.0.")]
