@@ -1,8 +1,11 @@
 """License scan with DataFrame functions only: TF-IDF cosine of notices to templates, then inheritance by directories.
 
-Every line of every text that speaks of a licence is a notice. Its terms are weighted by frequency and by inverse
-frequency over the notices of all texts, and its cosine with each template is a join on terms, so only terms that occur
-are ever multiplied. A text takes the template of its most similar notice, if similar enough. A licence file speaks for
+Of each text that speaks of a licence these parts are scored: every line that does, alone and with its neighbours (wrapped
+headers); and, as blocks, the comment it opens with, the text from its first notice on, and the whole. Terms are weighted by
+frequency and by inverse frequency over the texts that speak of a licence, and a part's cosine with each template is a
+join on terms, so only terms that occur are ever multiplied. Blocks meet whole licences, lines meet headers and titles;
+a title without a version names no version. What a text declares by SPDX identifier counts first, as it is written, then
+a whole licence, a header, a title; among those of one kind the most similar counts, if similar enough. A licence file speaks for
 its directory: a text with a licence whose file is named as one, or that opens with a notice (after blank lines or a
 heading set off by one) and of whose terms notices of licences make at least ``SHARE``. Texts without a licence of their own
 inherit from the nearest directory above them that has one: this is worked out once for each directory and then joined.
@@ -12,27 +15,70 @@ licence files in a directory the most similar one counts, then the first by name
 inherits nothing. Repeated rows are treated alike.
 """
 
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.6
+#: Whole licences differ by a few words only, and so do titles.
+LEAST_OF_BODIES = LEAST_OF_TITLES = 0.8
+#: Lines before and behind a notice that are taken with it.
+NEIGHBOURS = ((0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (1, 0), (1, 1), (1, 2), (1, 3))
 #: Of the terms of a licence file whose name doesn't tell, so many belong to notices.
 SHARE = 0.5
 
+# Whole licences are the files of this folder, named by their identifiers.
+BODIES = Path(__file__).with_name("license_texts")
+
+
+def _gnu(name: str, version: str) -> str:
+    return (f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by "
+            f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+
+
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_VERSIONS = [("GPL", "1"), ("GPL", "2"), ("GPL", "3"), ("LGPL", "2"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3")]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
 # Openings of licence notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license: redistribution and use in source and binary forms are permitted.",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution license CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-NOTICE = r"(?i)licen[sc]e|copyright|spdx"
+HEADERS = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license: redistribution and use in source and binary forms are permitted."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that"),
+    ("MPL-2.0", "This source code form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *[(f"{k}-{v if '.' in v else v + '.0'}", _gnu(_GNU[k], v)) for k, v in _VERSIONS],
+    *[(f"{k}-{v if '.' in v else v + '.0'}", f"This work is licensed under the {_GNU[k]}, version {v}.") for k, v in _VERSIONS],
+    *[(f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for k in _CC for v in ("3.0", "4.0")],
+    *[(f"CC-{k}-{v}", f"This work is licensed under the Creative Commons {name} license CC {k} {v}.") for k, name in _CC.items() for v in ("3.0", "4.0")],
+    *[(f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in _CC.items()],
+]
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0"), ("MIT", "The MIT License"), ("MIT", "MIT License"), ("ISC", "ISC License"), ("Zlib", "zlib License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("EPL-2.0", "Eclipse Public License v 2.0"), ("BSL-1.0", "Boost Software License Version 1.0"),
+    ("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License"),
+    *[(f"{k}-{v if '.' in v else v + '.0'}", f"{_GNU[k]} Version {v}") for k, v in _VERSIONS],
+]
+_OPENINGS = r"licen[sc]e|copyright|spdx|permission (?:is hereby granted|to use, copy)|redistribution and use|unencumbered software|without any express or implied"
+NOTICE = f"(?i){_OPENINGS}"
+SPDX = r"(?i)SPDX-License-Identifier:[^\S\n]*(\(?[a-z0-9][a-z0-9.+-]*\)?(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+\(?[a-z0-9][a-z0-9.+-]*\)?)*)"
+#: Lines of comments.
+COMMENT = r"^\s*(?:$|#|//|/\*|\*|--|;|%|<!--|\.\.)"
 TERM = r"[a-z0-9.]*[a-z0-9]"
 #: A notice on the first line that isn't blank, or on the next one after a heading and a blank line.
-OPENING = r"(?i)\A\s*+(?:[^\n]++\n[^\S\n]*+\n\s*+)?[^\n]*(?:licen[sc]e|copyright|spdx)"
+OPENING = r"(?i)\A\s*+(?:[^\n]++\n[^\S\n]*+\n\s*+)?[^\n]*(?:" + _OPENINGS + ")"
 #: Names of licence files; source files may be called so, too.
 FILE_NAME = r"(?i)(^|[-_./])(un)?(licen[sc]es?|copying|copyright|copyleft|notice)([-_.][^/]*)?$"
 SOURCE_NAME = r"(?i)\.(py|c|cc|cpp|h|hpp|cs|go|java|js|jsx|kt|php|pl|rb|rs|scala|sh|swift|ts|tsx|json|toml|xml|ya?ml)$"
@@ -43,35 +89,60 @@ def _terms(text):  # noqa: ANN001, ANN202
 
 
 def notices(docs: DataFrame, *, text_col: str, keys: list[str]) -> DataFrame:
-    """(keys, line, terms): lines that speak of a licence."""
-    lines = docs.where(F.col(text_col).rlike(NOTICE)).select(*keys, F.posexplode(F.split(text_col, "\n")).alias("line", "notice"))
-    return lines.where(F.col("notice").rlike(NOTICE)).select(*keys, "line", _terms(F.col("notice")).alias("terms"))
+    """(keys, line, span, block, terms): parts that speak of a licence; ``span`` are lines, ``block`` is true for blocks."""
+    split = docs.where(F.col(text_col).rlike(NOTICE)).select(*keys, F.col(text_col).alias("_text"), F.split(text_col, "\n").alias("_lines"))
+    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
+    speaking = F.filter(numbers, lambda k: F.col("_lines")[k].rlike(NOTICE))
+    count, lines = F.size("_lines"), split.withColumn("_at", speaking)
+    code = F.array_position(F.transform("_lines", lambda x: ~x.rlike(COMMENT)), True).cast("int")
+    comment = F.when(F.col("_lines")[0].rlike(r"^\s*/\*"), F.regexp_extract("_text", r"(?s)\A\s*+/\*(.*?)\*/", 1)).when(
+        code > 1, F.array_join(F.slice("_lines", F.lit(1), code - 1), "\n")
+    )
+    # A notice that is wrapped has its keyword on any of its lines; without such a line the whole text remains.
+    first = F.coalesce(F.col("_at")[0], F.lit(0))
+    blocks = F.array(
+        F.struct(F.lit(0).alias("line"), count.alias("span"), F.col("_text").alias("part")),
+        F.struct(first.alias("line"), (count - first).alias("span"), F.when(first > 0, F.array_join(F.slice("_lines", first + 1, count), "\n")).alias("part")),
+        F.struct(F.lit(0).alias("line"), F.lit(0).alias("span"), comment.alias("part")),
+    )
+    whole = lines.select(*keys, F.explode(blocks).alias("b")).select(*keys, "b.*", F.lit(True).alias("block"))
+    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEIGHBOURS])
+    spans = lines.select(*keys, "_lines", F.explode("_at").alias("at")).select("*", F.explode(near).alias("n"))
+    spans = spans.select(*keys, "_lines", (F.col("at") - F.col("n.a")).alias("line"), (F.col("n.a") + F.col("n.b") + 1).alias("span"))
+    spans = spans.where((F.col("line") >= 0) & (F.col("line") + F.col("span") <= F.size("_lines")))
+    near_lines = spans.select(*keys, "line", "span", F.array_join(F.slice("_lines", F.col("line") + 1, F.col("span")), "\n").alias("part"), F.lit(False).alias("block"))
+    parts = whole.unionByName(near_lines).where("part IS NOT NULL")
+    return parts.select(*keys, "line", "span", "block", _terms(F.col("part")).alias("terms")).distinct()
+
+
+def template_terms() -> list[tuple[str, int, int, str, int]]:
+    """(license, kind, number, term, frequency): kind 3 are whole licences, 2 headers, 1 titles. A table of fixed size."""
+    bodies = [(f.name.removesuffix(".txt"), 3, f.read_text()) for f in sorted(BODIES.glob("*.txt"))]
+    forms = [*bodies, *[(k, 2, t) for k, t in HEADERS], *[(k, 1, t) for k, t in TITLES]]
+    return [(k, kind, n, term, tf) for n, (k, kind, text) in enumerate(forms) for term, tf in Counter(re.findall(TERM, text.lower())).items()]
 
 
 def similarities(found: DataFrame, *, keys: list[str]) -> DataFrame:
-    """(keys, line, license, similarity) of each notice and each template with a common term."""
+    """(keys, line, span, block, license, kind, similarity) of each part and each template with a common term."""
     spark = found.sparkSession
-    templates = spark.createDataFrame(list(TEMPLATES.items()), "license string, notice string")
-    templates = templates.select("license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("license", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    line = [*keys, "line"]
-    terms = found.select(*line, F.explode("terms").alias("term")).groupBy(*line, "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select(
+    templates = spark.createDataFrame(template_terms(), "license string, kind int, number int, term string, tf bigint")
+    part, form = [*keys, "line", "span", "block"], ["license", "kind", "number"]
+    terms = found.select(*part, F.explode("terms").alias("term")).groupBy(*part, "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = found.select(*keys).distinct().agg(F.count(F.lit(1)).alias("total"))
+    by_text = terms.where("block").select(*keys, "term").distinct()
+    idf = by_text.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select(
         "term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")
     )
     rare = F.log(1 + F.col("total")) + 1
-    # Templates have a few hundred terms: their table has a fixed size.
-    known = templates.join(idf, "term", "left").crossJoin(F.broadcast(total)).select(
-        "license", "term", (F.col("tf") * F.coalesce("idf", rare)).alias("t")
-    )
-    norms = known.groupBy("license").agg(F.sqrt(F.sum(F.col("t") ** 2)).alias("t_norm"))
-    weighted = terms.join(idf, "term").select(*line, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = weighted.groupBy(*line).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("w_norm"))
-    dots = weighted.join(F.broadcast(known), "term").groupBy(*line, "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    tf = 1 + F.log("tf")
+    known = templates.join(idf, "term", "left").crossJoin(F.broadcast(total)).select(*form, "term", (tf * F.coalesce("idf", rare)).alias("t"))
+    norms = known.groupBy("number").agg(F.sqrt(F.sum(F.col("t") ** 2)).alias("t_norm"))
+    weighted = terms.join(idf, "term").select(*part, "term", (tf * F.col("idf")).alias("w"))
+    lengths = weighted.groupBy(*part).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("w_norm"))
+    met = weighted.join(F.broadcast(known.withColumn("block", F.col("kind") == 3)), ["block", "term"])
+    dots = met.groupBy(*part, *form).agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("w_norm") * F.col("t_norm")), 6)
-    return dots.join(lengths, line).join(F.broadcast(norms), "license").select(*line, "license", cosine.alias("similarity"))
+    return dots.join(lengths, part).join(F.broadcast(norms), "number").select(*part, "license", "kind", cosine.alias("similarity"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least: float = SIMILARITY) -> DataFrame:
@@ -83,11 +154,25 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     # Equal texts have equal notices: each text is looked at once.
     speaking = rows.where(F.col("text").rlike(NOTICE)).groupBy("h").agg(F.first("text").alias("text"))
     texts = notices(speaking, text_col="text", keys=["h"])
-    scored = similarities(texts, keys=["h"]).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("license", "line", "similarity"), F.struct("similarity", -F.col("line")))
-    ranked = scored.groupBy("h", "line").agg(F.max("similarity").alias("similarity"), F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("license"))
-    own = ranked.groupBy("h").agg(best.alias("own")).select("h", "own.*")
-    covered = texts.join(ranked.select("h", "line"), ["h", "line"]).groupBy("h").agg(F.sum(F.size("terms")).alias("covered"))
+    bound = F.when(F.col("kind") == 3, LEAST_OF_BODIES).when(F.col("kind") == 1, LEAST_OF_TITLES).otherwise(least)
+    scored = similarities(texts, keys=["h"]).where(F.col("similarity") >= bound)
+    # A header or title stands for a version only if it names that.
+    version = F.regexp_extract("license", r"-([0-9.]+)$", 1)
+    names = F.arrays_overlap("terms", F.array(version, F.regexp_replace(version, r"\.0$", ""), F.concat(F.lit("v"), version)))
+    named = (F.col("kind") == 3) | (version == "") | names
+    scored = scored.join(texts, ["h", "line", "span", "block"]).where(named).drop("terms")
+    declared = speaking.select("h", F.regexp_extract("text", SPDX, 1).alias("license")).where("license <> ''").select(
+        "h", F.lit(0).alias("line"), F.lit(1).alias("span"), F.lit(False).alias("block"), "license", F.lit(4).alias("kind"), F.lit(1.0).alias("similarity")
+    )
+    scored = scored.unionByName(declared)
+    # The smallest: the better kind, then the more similar, the first by name, the earlier and shorter part.
+    order = F.struct((-F.col("kind")).alias("k"), (-F.col("similarity")).alias("s"), "license", "line", "span")
+    own = scored.groupBy("h").agg(F.min(order).alias("o")).select("h", "o.license", (-F.col("o.s")).alias("similarity"))
+    passed = scored.select("h", "line", "span", "block").distinct().join(texts, ["h", "line", "span", "block"])
+    sizes = F.size("terms")
+    covered = passed.groupBy("h").agg(
+        F.greatest(F.max(sizes), F.coalesce(F.sum(F.when((F.col("span") == 1) & ~F.col("block"), sizes)), F.lit(0))).alias("covered")
+    )
     mostly = F.col("covered") >= SHARE * F.size(_terms(F.col("text")))
     whole = speaking.where(F.col("text").rlike(OPENING)).join(covered, "h").select("h", mostly.alias("mostly"))
     found = rows.drop("text").join(own.join(whole, "h", "left"), "h", "left")

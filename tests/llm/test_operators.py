@@ -280,6 +280,20 @@ def test_license_files_are_told_by_name_and_by_share(spark):
         "a/x": ("MIT", "inherited"), "b/x": ("MIT", "inherited"), "c/x": ("MIT", "inherited"), "d/x": (None, "none"), "e/x": (None, "none")}
 
 
+def test_licenses_of_whole_files_headers_titles_and_identifiers(spark):
+    bodies = {f.name.removesuffix(".txt"): f.read_text() for f in licenses.BODIES.glob("*.txt")}
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause"} <= bodies.keys()
+    wrapped = "# tool\n# Licensed under the Apache License,\n# Version 2.0 (the \"License\");\n# you may not use this file except in\n# compliance with the License.\nx = 1"
+    source = "".join(f"# {x}\n" for x in bodies["MIT"].split("\n")) + "import os\nprint(os.name)\n" * 40
+    texts = [*[(k, t) for k, t in sorted(bodies.items())], ("MIT", "// SPDX-License-Identifier: MIT\nint x;"),
+             ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("MIT OR Apache-2.0", "# SPDX-License-Identifier: MIT OR Apache-2.0\nx"),
+             ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE"), ("GPL", "GNU GENERAL PUBLIC LICENSE"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+             ("BSD-3-Clause", "BSD 3-Clause License"), ("Apache-2.0", wrapped), ("MIT", source), (None, "we like a license that the others like")]
+    docs = spark.createDataFrame([(k, "p", t) for k, (_, t) in enumerate(texts)], "doc_id bigint, path string, text string")
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(docs).where("origin <> 'inherited'").collect()}
+    assert {k: found.get(k) for k in range(len(texts))} == {k: name for k, (name, _) in enumerate(texts)}
+
+
 def test_license_query_has_rows_that_inherit(spark):
     origins = dict(llm_catalog.op2_licenses(spark, "/root/testdata/sf0.01").groupBy("origin").count().collect())
     assert origins["inherited"] > 0 and origins["own"] > 0
