@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankarena.llm import (
-    bpe, decontaminate, exact_dedup, jaccard_join, language_id, licenses, quality, secrets, simhash, token_shards, warc,
+    bpe, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, licenses, quality, secrets, simhash, token_shards,
+    warc,
 )
 from rankarena.sources.scratch import scratch_path
 
@@ -82,6 +83,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
@@ -94,9 +99,11 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
     "op12_simhash": op12_simhash,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 SQL = {
     "op7_exact_dedup": f"""
@@ -120,4 +127,33 @@ SQL = {
         )
         SELECT *, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type FROM firsts
     """,
+    "op13_lexical_search": rf"""
+        WITH bodies AS (
+            SELECT row_number() OVER () AS place, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body FROM documents
+        ), words AS (
+            SELECT place, unnest(regexp_extract_all(body, '{_TERM}')) AS term FROM bodies
+        ), counts AS (
+            SELECT place, term, count(*) AS tf FROM words GROUP BY ALL
+        ), lengths AS (
+            SELECT place, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY place
+        ), corpus AS (
+            SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term
+            FROM benchmark
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM counts, corpus GROUP BY term, n_docs
+        ), scores AS (
+            SELECT item_id, place,
+                   CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (place), corpus
+            GROUP BY item_id, place
+        ), ranked AS (
+            SELECT item_id, doc_id, score,
+                   CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank
+            FROM scores JOIN bodies USING (place) WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
 }
