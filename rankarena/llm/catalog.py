@@ -5,12 +5,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankarena.llm import (
-    bpe, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, licenses, quality, secrets, simhash, token_shards,
-    warc,
+    alignment, bpe, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, licenses, quality, secrets, simhash,
+    token_shards, warc,
 )
 from rankarena.sources.scratch import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked_counts(table(spark, sf_dir, "documents"), file_a=VOCABULARY, file_b=PIECES)
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op12_simhash": op12_simhash,
     "op13_lexical_search": op13_lexical_search,
 }
