@@ -40,6 +40,8 @@ SEED = 42
 SEGMENT_BITS = 4
 #: Points of a cell that are compared with one another; more go to the finest grid.
 CELL_POINTS = 32
+#: Points that a task sends to their cells.
+POINTS_PER_TASK = 1 << 15
 #: Bytes of a text that are cut into words at a time, and shingles whose bits are counted at a time.
 SLICE_BYTES = 4 << 20
 _SHINGLES = 1 << 16
@@ -171,7 +173,9 @@ def links_between(points: DataFrame, *, cell_points: int = CELL_POINTS) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _met(batches, cell_points)
 
-    grid = points.select("fp", F.explode(coarse_cells(F.col("fp"))).alias("cell"))
+    # A point is a short row but makes 33: without dealing, all would come from a few tasks.
+    dealt = points.repartition(1 + points.count() // POINTS_PER_TASK)
+    grid = dealt.select("fp", F.explode(coarse_cells(F.col("fp"))).alias("cell"))
     ordered = grid.repartition("cell").sortWithinPartitions("cell")
     met = written(ordered.mapInArrow(lean(run), "u bigint, v bigint"), "met")
     crowded = met.where("v IS NULL").select("u").distinct()
