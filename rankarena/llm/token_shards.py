@@ -37,6 +37,8 @@ ROUNDS = 6
 SAMPLED, DICTIONARY_BYTES = 2000, 112_640
 LEVEL = 6
 SEPARATOR = 50256
+#: Shards that a task writes, one after another.
+SHARDS_PER_TASK = 4
 
 
 def encoder(file: str) -> tiktoken.Encoding:
@@ -75,16 +77,18 @@ def sequences(docs: DataFrame, *, file: str, id_col: str = "doc_id", text_col: s
 
         def cut(last: bool) -> Iterator[dict]:
             nonlocal k, held, owners
-            start = 0
+            start, ends = 0, [*(at for at, _ in owners[1:]), len(held)]
+            # A text has a separator at least, so each owner has ids, and without ids there is no owner.
+            texts = list(zip(owners, ends, strict=True)) if held else []
             while len(held) - start >= length or (last and start < len(held)):
                 ids, stop = held[start : start + length], start + length
-                inside = [i for at, i, end in zip((a for a, _ in owners), (i for _, i in owners), [*(a for a, _ in owners[1:]), len(held)], strict=True) if at < stop and end > start]
+                inside = [i for (at, i), end in texts if at < stop and end > start]
                 body = np.full(length, SEPARATOR, "<u2")
                 body[: len(ids)] = ids
                 yield {"part": part, "k": k, "doc_ids": inside, "n_tokens": len(ids), "body": body.tobytes()}
                 k, start = k + 1, stop
-            kept = [(max(at - start, 0), i) for (at, i), end in zip(owners, [*(a for a, _ in owners[1:]), len(held)], strict=True) if end > start]
-            held, owners = held[start:], kept
+            owners = [(max(at - start, 0), i) for (at, i), end in texts if end > start]
+            held = held[start:]
 
         schema = pa.schema([("part", pa.int64()), ("k", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("body", pa.binary())])
         for batch in batches:
@@ -144,8 +148,10 @@ def write_shards(
 
     placed = packed.join(F.broadcast(starts), "part").select((F.col("before") + F.col("k")).alias("number"), "n_tokens", "doc_ids", "body")
     numbered = placed.mapInArrow(number, "slot bigint, n_tokens bigint, doc_ids array<bigint>, body binary")
-    ranged = numbered.withColumn("shard", F.floor(F.col("slot") / per_shard)).select("slot", "shard", "n_tokens", "doc_ids", "body")
-    sorted_rows = ranged.repartitionByRange(1 + total // per_shard, "shard").sortWithinPartitions("slot")
+    ranged = numbered.withColumn("shard", F.expr(f"slot div {per_shard}")).select("slot", "shard", "n_tokens", "doc_ids", "body")
+    # The permutation spreads sequences evenly, so equal ranges of slots are equal work; nothing has to be sampled.
+    tasks = -(-(1 + total // per_shard) // SHARDS_PER_TASK)
+    sorted_rows = ranged.repartitionById(tasks, F.expr(f"CAST(shard div {SHARDS_PER_TASK} AS INT)")).sortWithinPartitions("slot")
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
     stride = 2 * length
