@@ -41,6 +41,8 @@ SHARD_BYTES = 16 << 20
 BLOCK_POSTINGS = 128
 #: Different (item, term) rows that are asked at a time, about; each is sent to all tasks (16 bytes).
 ASKED_TERMS = 500_000
+#: Shards that a task searches; their rows are short, but each is work.
+SHARDS_PER_TASK = 4
 #: Heaps of so many slices of tasks are merged before those of an item are.
 SLICES = 64
 
@@ -311,7 +313,8 @@ def search(index: DataFrame, asked: Asked, *, top: int = TOP) -> DataFrame:
                 ids = pa.array(heap.ids, mask=heap.null)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ids], ["part", "item", "score", "doc_id"])
 
-    return index.drop("shard", "n_docs", "n_terms").mapInArrow(lean(run), "part bigint, item bigint, score bigint, doc_id bigint")
+    dealt = index.drop("shard", "n_docs", "n_terms").repartition(1 + index.count() // SHARDS_PER_TASK)
+    return dealt.mapInArrow(lean(run), "part bigint, item bigint, score bigint, doc_id bigint")
 
 
 def merged(heaps: DataFrame, *, top: int = TOP) -> DataFrame:
