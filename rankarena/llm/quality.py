@@ -6,11 +6,13 @@ lowest order up by joins with counts and contexts, all keyed by n-gram and so sp
 into shards of bounded size; a shard asks for the n-grams it has, once each, and sums their log probabilities into
 a perplexity for each document. What is repeated looks likely to the model, so a second measure stands beside it: the
 repetition of a document, its bytes by different n-grams in windows of ``WINDOW`` bytes. A document is rejected if either
-is over its language's threshold by enough evidence: bytes times the difference of logarithms must be over
-``SLACK_NATS``, so that an odd word alone doesn't reject a text of a few bytes.
+is over its threshold.
 
 A quarter of the trusted texts, by hash, is left out of training; thresholds come from those: a quantile of each
-language, read from histograms of logarithms. A language with few of them uses all languages'.
+language, read from histograms of logarithms. A language with few of them uses all languages'. A short text says little, so
+an odd word in it weighs more than in a long one. By classes of length, from a few bytes up, the threshold is therefore at
+least what nearly all held-out texts of such lengths stay under (a quantile, too). A class with few of them borrows from
+neighbouring lengths.
 
 Defined results: a null or empty text has neither measure and is not rejected; a null language is a language of its own.
 An identifier is trusted if it is labelled and all its labels are good; rows that share it are trusted together. Without
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankarena.llm.batches import lean, lean_cogroup, lean_group, pieces, text_bytes
@@ -30,15 +32,17 @@ from rankarena.sources.scratch import written
 
 ORDER = 5
 #: Bytes of text that are scored together.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Shards that a task scores, one after another: a hash deals a few to each task more evenly than one.
+SHARDS_PER_TASK = 4
 QUANTILE = 0.99
-#: How much more than the quantile, as a share of the measure.
-MARGIN = 0.0
-#: Evidence against a text, in units of log probability, that is let pass.
-SLACK_NATS = 30.0
+#: Of held-out trusted texts of like length, so many are not over a threshold; short texts vary more than long ones.
+SHORT_QUANTILE = 0.999
+#: Classes of length, each of up to twice the bytes of the one before.
+CLASSES = 40
 #: Bytes within which repeated n-grams are counted.
 WINDOW = 256
-#: Held-out trusted texts that a language needs for a threshold of its own.
+#: Held-out trusted texts that a language needs for a threshold of its own, and a class of length for its allowance.
 LEAST_TEXTS = 50
 CALIBRATION_FOLDS = 4
 #: Trusted identifiers are sent to all tasks up to this many (16 bytes each); more are joined by a shuffle.
@@ -48,6 +52,7 @@ MEASURES = {"perplexity": "threshold", "repetition": "repetition_threshold"}
 _BINS = 1000.0
 _PENDING = 1 << 21
 _PIECE_BODIES = 1 << 18
+_WINDOWS = 1 << 11
 
 
 def grams_of(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -81,12 +86,19 @@ def repetition(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text its bytes by different n-grams, counted anew in each window; ``places`` are numbers of n-grams."""
     sizes = np.diff(offsets)
     windows = -(-sizes // WINDOW)
-    before = np.cumsum(windows) - windows
-    window = np.repeat(before, sizes) + (np.arange(len(places)) - np.repeat(offsets[:-1], sizes)) // WINDOW
-    scale = int(places.max(initial=0)) + 1
-    owners = np.repeat(np.arange(len(sizes)), windows)[np.unique(window * scale + places) // scale]
+    begins = np.repeat(offsets[:-1] - (np.cumsum(windows) - windows) * WINDOW, windows) + np.arange(windows.sum()) * WINDOW
+    held = np.minimum(np.repeat(offsets[1:], windows) - begins, WINDOW)
+    different = np.zeros(len(begins), np.int64)
+    for start in range(0, len(begins), _WINDOWS):
+        part = slice(start, start + _WINDOWS)
+        at = begins[part, None] + np.arange(WINDOW)
+        # A row for each window; a short one is filled up with -1. Sorted, a row changes where a new n-gram comes.
+        row = np.where(np.arange(WINDOW) < held[part, None], places[np.minimum(at, len(places) - 1)], -1).astype(np.int32)
+        row.sort(axis=1)
+        different[part] = (row[:, 1:] != row[:, :-1]).sum(axis=1) + (held[part] == WINDOW)
+    owners = np.repeat(np.arange(len(sizes)), windows)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return sizes / np.bincount(owners, minlength=len(sizes))
+        return sizes / np.bincount(owners, different, len(sizes))
 
 
 class Counter:
@@ -215,7 +227,7 @@ def perplexities(
     )
     row_type = rows.schema["row"].dataType.simpleString()
     dealt = rows.mapInArrow(lean(packed), f"shard bigint, row {row_type}, lang string, calibrates boolean, body binary")
-    dealt = dealt.repartition(int(shards), "shard")
+    dealt = dealt.repartition(1 + int(shards) // SHARDS_PER_TASK, "shard")
 
     def ask(table: pa.Table) -> pa.Table:
         found = Counter()
@@ -237,8 +249,8 @@ def perplexities(
             kept.append(texts)
             data, offsets = text_bytes(texts)
             sizes.append(np.diff(offsets))
-            places = np.searchsorted(keys, grams_of(data, offsets, order)) if len(data) else np.zeros(0, np.int64)
-            sums = np.concatenate(([0.0], np.cumsum(logp[places])))
+            different, places = np.unique(grams_of(data, offsets, order), return_inverse=True)
+            sums = np.concatenate(([0.0], np.cumsum(logp[np.searchsorted(keys, different)][places])))
             repeats.append(repetition(places, offsets))
             with np.errstate(invalid="ignore", divide="ignore"):
                 found.append(np.exp(-np.diff(sums[offsets]) / sizes[-1]))
@@ -254,10 +266,8 @@ def perplexities(
     return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lean_cogroup(score), out_type)
 
 
-def thresholds(
-    scored: DataFrame, *, measure: str = "perplexity", quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_TEXTS
-) -> DataFrame:
-    """(lang, own) for each language with texts enough, and under a second flag the one for the others."""
+def thresholds(scored: DataFrame, *, measure: str = "perplexity", quantile: float = QUANTILE, least: int = LEAST_TEXTS) -> DataFrame:
+    """(lang, center, threshold) for each language with texts enough, and under a second flag those for the others."""
     bins = (
         scored.where(F.col("calibrates") & F.col(measure).isNotNull())
         .select("lang", F.floor(F.log(measure) * _BINS).alias("bin"))
@@ -268,26 +278,59 @@ def thresholds(
     # A histogram: its size depends on the width of its bins, not on the rows.
     upto = Window.partitionBy("all_langs", "lang").orderBy("bin")
     whole = Window.partitionBy("all_langs", "lang")
-    reached = bins.select(
-        "all_langs", "lang", "bin", F.sum("n").over(upto).alias("below"), F.sum("n").over(whole).alias("texts")
-    ).where(F.col("below") >= quantile * F.col("texts"))
-    edge = F.exp((F.min("bin") + 1) / _BINS) * (1 + margin)
-    return reached.groupBy("all_langs", "lang").agg(edge.alias("threshold"), F.max("texts").alias("texts")).where(
-        (F.col("all_langs") == 1) | (F.col("texts") >= least)
-    )
+    reached = bins.select("all_langs", "lang", "bin", F.sum("n").over(upto).alias("below"), F.sum("n").over(whole).alias("texts"))
+
+    def edge(share: float) -> Column:
+        return F.exp((F.min(F.when(F.col("below") >= share * F.col("texts"), F.col("bin"))) + 1) / _BINS)
+
+    return reached.groupBy("all_langs", "lang").agg(
+        edge(0.5).alias("center"), edge(quantile).alias("threshold"), F.max("texts").alias("texts")
+    ).where((F.col("all_langs") == 1) | (F.col("texts") >= least))
+
+
+def length_class() -> Column:
+    """Texts of up to twice as many bytes are of one class."""
+    return F.floor(F.log2(F.greatest("bytes", F.lit(1)))).cast("int")
+
+
+def allowances(scored: DataFrame, *, measure: str, quantile: float = SHORT_QUANTILE, least: int = LEAST_TEXTS) -> list[float]:
+    """By class of length, how far (as a logarithm) good texts of such lengths go over their language's ``center``.
+
+    A class with few of them borrows from its neighbours. A mean over fewer bytes varies more, as the square root of their
+    number, so what is borrowed from longer texts is scaled up.
+    """
+    excess = F.floor((F.log(measure) - F.log("center")) * _BINS)
+    # A histogram again.
+    bins = scored.where("calibrates").select(length_class().alias("k"), excess.alias("bin")).where("bin IS NOT NULL").groupBy("k", "bin").count().collect()
+    classes, edges, counts = np.array([(r["k"], r["bin"] + 1, r["count"]) for r in bins], np.int64).reshape(-1, 3).T
+    found = []
+    for k in range(CLASSES):
+        wide = 0
+        while counts[np.abs(classes - k) <= wide].sum() < least and wide < CLASSES:
+            wide += 1
+        near = np.abs(classes - k) <= wide
+        over = edges[near] * 2.0 ** (np.maximum(classes[near] - k, 0) / 2)
+        order = np.argsort(over)
+        upto = np.cumsum(counts[near][order])
+        found.append(max(0.0, float(over[order][np.searchsorted(upto, quantile * upto[-1])]) / _BINS) if len(upto) else 0.0)
+    return found
 
 
-def judged(scored: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST_TEXTS) -> DataFrame:
+def judged(scored: DataFrame, *, quantile: float = QUANTILE, short_quantile: float = SHORT_QUANTILE, least: int = LEAST_TEXTS) -> DataFrame:
     """``scored`` with a threshold for each measure, and ``kept``. ``scored`` is read several times and should be a written table."""
     found, kept = scored, F.lit(True)
     for measure, name in MEASURES.items():
-        limits = written(thresholds(scored, measure=measure, quantile=quantile, margin=margin, least=least), "thresholds")
-        own = limits.where("all_langs = 0").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))
-        rest = limits.where("all_langs = 1").select(F.col("threshold").alias("_rest"))
+        limits = written(thresholds(scored, measure=measure, quantile=quantile, least=least), "thresholds")
+        own = limits.where("all_langs = 0").select(F.col("lang").alias("_lang"), F.struct("center", "threshold").alias("_own"))
         # One row; without trusted texts none, and nothing is over the threshold then.
+        rest = limits.where("all_langs = 1").select(F.struct("center", "threshold").alias("_rest"))
         met = found.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(rest), F.lit(True), "left")
-        found = met.select(*found.columns, F.coalesce("_own", "_rest").alias(name))
-        kept &= F.coalesce(F.col("bytes") * (F.log(measure) - F.log(name)) <= SLACK_NATS, F.lit(True))
+        met = met.select(*found.columns, F.coalesce("_own", "_rest").alias("_limit"))
+        over = allowances(met.select("*", "_limit.center"), measure=measure, quantile=short_quantile, least=least)
+        allowed = F.get(F.array(*[F.lit(v) for v in over]), F.least(length_class(), F.lit(CLASSES - 1)))
+        limit = F.greatest(F.col("_limit.threshold"), F.col("_limit.center") * F.exp(allowed))
+        found = met.select(*found.columns, limit.alias(name))
+        kept &= F.coalesce(F.col(measure) <= F.col(name), F.lit(True))
     return found.withColumn("kept", kept)
 
 
