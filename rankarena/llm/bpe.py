@@ -220,11 +220,12 @@ def decode_documents(docs: DataFrame, *, file: str, ids_col: str = "ids", text_c
 
 
 def round_trip(docs: DataFrame, *, file: str, text_col: str = "text", ids_col: str = "ids", decodes_col: str = "decodes") -> DataFrame:
-    """``docs`` with the ids of each text, and whether they decode to it, in one pass."""
-    kept = [c for c in docs.columns if c not in (ids_col, decodes_col)]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    """``docs`` without the text, with its ids and whether they decode to it, in one pass."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, ids_col, decodes_col)]
+    rows = docs.select(F.struct(*(kept or [F.lit(None).alias("none")])).alias("row"), F.col(f"`{text_col}`").alias("text"))
     made = _mapped(rows, "text", "made", "struct<ids: binary, decodes: boolean>", file, False, _round_trip_rows)
-    return made.select("row.*", F.col("made.ids").alias(ids_col), F.col("made.decodes").alias(decodes_col))
+    columns = [F.col("made.ids").alias(ids_col), F.col("made.decodes").alias(decodes_col)]
+    return made.select(*(["row.*"] if kept else []), *columns)
 
 
 def digest_documents(docs: DataFrame, *, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,26 +1,32 @@
 """Benchmark decontamination by an FM-index per shard of the training texts.
 
-The test phrases (windows of consecutive words of each item) come in blocks of bounded size. Shards of a few megabytes
-of training text are indexed, each over the words that occur in the block's phrases: another word ends a run, and runs
-too short for any phrase are left out, as no phrase can lie in them. All phrases of the block are searched backwards
-through the wavelet tree, their occurrences are located through sampled suffix positions, and overlapping ones are
-merged into spans. Shards are rows of one task, so nothing is shuffled, and a task that is lost is run again.
+The test phrases (windows of consecutive words of each item) come in blocks of bounded size, a table in the shared folder
+that is keyed by the block's number; a task holds one block at a time. Shards of some megabytes of training text are
+indexed, each over the words that occur in the block's phrases: another word ends a run, and runs too short for any phrase
+are left out, as no phrase can lie in them. All phrases of the block are searched backwards through the wavelet tree, their
+occurrences are located through sampled suffix positions, and those of all blocks are merged into spans. Shards are rows of
+one task, so nothing is shuffled, and a task that is lost is run again.
 
 Words are compared by 64-bit hashes. Defined results: a null or empty text has no words and is never contaminated; an
-item without words is no phrase; rows with the same item id are one item, and a null item id is written "null". Input
-columns of any name are kept in ``row``; repeated rows are treated one by one.
+item without words is no phrase; rows with the same item id are one item, and a null item id is written "null". An item of
+more words than a block is a block of its own. Input columns of any name but the text's are kept in ``row``; repeated rows
+are treated one by one.
 """
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankarena.llm.batches import lean, lower_ascii, pieces, span_hashes, text_bytes, word_spans
 from rankarena.llm.fm_index import FMIndex
+from rankarena.sources.scratch import scratch_path
 
 WINDOW = 13
 #: Words of test items that are searched at a time; a block is sent to all tasks (8 bytes a word and window place).
@@ -79,17 +85,30 @@ def phrase_block(items: list[tuple[str, str]], window: int) -> Block | None:
     return Block(np.unique(hashes), unique[:, :window], unique[:, window].astype(np.int64), owned[:, 0], owned[:, 1], names)
 
 
-def phrase_blocks(benchmark: DataFrame, *, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Block]:
-    """The items in blocks of about ``block_words`` words, fetched one after another."""
+def phrase_blocks(benchmark: DataFrame, path: str, *, id_col: str, text_col: str, window: int, block_words: int) -> int:
+    """Write the items under ``path`` in blocks of about ``block_words`` words, and return how many blocks there are."""
     items = benchmark.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")
     )
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = 1 + total // (6 * block_words)
-    for k in range(count):
-        block = phrase_block([tuple(r) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()], window)
-        if block:
-            yield block
+
+    def pack(table: pa.Table) -> pa.Table:
+        block = phrase_block(list(zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True)), window)
+        bodies = [] if block is None else [pickle.dumps(block)]
+        return pa.table({"block": pa.array(table.column("block")[: len(bodies)], pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
+    numbered.groupBy("block").applyInArrow(pack, "block bigint, body binary").write.parquet(path)
+    return count
+
+
+@lru_cache(maxsize=1)
+def read_block(path: str, k: int) -> Block | None:
+    """A block of the table that :func:`phrase_blocks` wrote; the last one that was asked for is kept."""
+    store, root = fs.FileSystem.from_uri(path)
+    found = dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=["body"], filter=dataset.field("block") == k)
+    return pickle.loads(found.column("body")[0].as_py()) if found.num_rows else None
 
 
 def occurrences(block: Block, row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,21 +159,14 @@ def _merged(covered: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, last
 
 
-def _search_rows(texts: pa.Array, before: pa.Array | None, items_before: pa.Array | None, block: Block | None) -> list[pa.Array]:
-    """n_words, item_ids and spans for a shard; spans and items that earlier blocks have found are taken over."""
-    data, offsets, starts, ends, row, hashes = words_of(texts)
+def _search_rows(texts: pa.Array, blocks: Iterator[Block]) -> list[pa.Array]:
+    """n_words, item_ids and spans for a shard."""
+    offsets, starts, ends, row, hashes = _shard_words(texts)
     n_words = np.bincount(row, minlength=len(texts))
     first_of = np.cumsum(n_words) - n_words
     edge = np.zeros(len(row) + 1, np.int64)
     items: dict[int, set[str]] = {}
-    if before is not None and items_before is not None:
-        for k, (spans, names) in enumerate(zip(before.to_pylist(), items_before.to_pylist(), strict=True)):
-            for span in spans:
-                edge[first_of[k] + span["first_word"]] += 1
-                edge[first_of[k] + span["end_word"]] -= 1
-            if names:
-                items[k] = set(names)
-    if block:
+    for block in blocks:
         word, phrase = occurrences(block, row, hashes)
         np.add.at(edge, word, 1)
         np.add.at(edge, word + block.lengths[phrase], -1)
@@ -163,39 +175,54 @@ def _search_rows(texts: pa.Array, before: pa.Array | None, items_before: pa.Arra
         for k, a, b in zip(pairs[:, 0].tolist(), low.tolist(), high.tolist(), strict=True):
             items.setdefault(k, set()).update(block.items[i] for i in block.item_of[a:b].tolist())
     first, last = _merged(np.cumsum(edge)[:-1] > 0, row)
-    # Code points before each byte of the shard, to count spans in characters of their row.
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    base = points[offsets[row[first]]]
-    values = [first - first_of[row[first]], last + 1 - first_of[row[first]], points[starts[first]] - base, points[ends[last]] - base]
+    # Code points before the first and last byte of each span, to count spans in characters of their row.
+    data, _ = text_bytes(texts)
+    points = [[_code_points(data, offsets[r], at) for r, at in zip(row[some].tolist(), where[some].tolist(), strict=True)] for some, where in ((first, starts), (last, ends))]
+    values = [first - first_of[row[first]], last + 1 - first_of[row[first]], *points]
     flat = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in values], fields=list(_SPAN))
     cuts = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=len(texts))))).astype(np.int32)
     names = [sorted(items.get(k, ())) for k in range(len(texts))]
     return [pa.array(n_words, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(cuts), flat)]
 
 
+def _shard_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of rows, and start, end, row and hash of each word; bytes are looked at some rows at a time."""
+    found, rows, at = [], 0, 0
+    for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        data, _, starts, ends, row, hashes = words_of(piece.column("text"))
+        found.append((starts + at, ends + at, row + rows, hashes))
+        rows, at = rows + piece.num_rows, at + len(data)
+    return (text_bytes(texts)[1], *(np.concatenate(parts) for parts in zip(*found, strict=True)))
+
+
+def _code_points(data: np.ndarray, start: int, stop: int) -> int:
+    return int(np.count_nonzero((data[start:stop] & 0xC0) != 0x80))
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = WINDOW, block_words: int = BLOCK_WORDS
+    window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = False
 ) -> DataFrame:
-    """For each row of ``docs``: the row, ``n_words``, ``n_hit``, ``item_ids`` (sorted) and ``spans``.
+    """For each row of ``docs``: ``row`` (all columns but the text), ``text``, ``n_words``, ``n_hit``, ``item_ids`` (sorted) and ``spans``.
 
-    A span has its first word, the word after its last, and the same in characters.
+    A span has its first word, the word after its last, and the same in characters. Without ``keep_text`` the text is null.
     """
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    blocks = list(phrase_blocks(benchmark, id_col=item_col, text_col=item_text_col, window=window, block_words=block_words))
-    row_type = found.schema["row"].dataType.simpleString()
-    for k, block in enumerate(blocks or [None]):
-
-        def search(batches: Iterator[pa.RecordBatch], k: int = k, block: Block | None = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in pieces(batch, "text", SHARD_BYTES):
-                    earlier = [piece.column(c) for c in ("spans", "item_ids")] if k else [None, None]
-                    columns = [piece.column("row"), piece.column("text"), *_search_rows(piece.column("text"), *earlier, block)]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "item_ids", "spans"])
-
-        found = found.mapInArrow(lean(search), f"row {row_type}, text string, {_FOUND}")
+    path = scratch_path(docs.sparkSession, "phrases")
+    blocks = phrase_blocks(benchmark, path, id_col=item_col, text_col=item_text_col, window=window, block_words=block_words)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(rest or [F.lit(None).alias("none")])).alias("row"), F.col(f"`{text_col}`").alias("text"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text", SHARD_BYTES):
+                asked = (block for k in range(blocks) if (block := read_block(path, k)) is not None)
+                text = piece.column("text") if keep_text else pa.nulls(piece.num_rows, pa.string())
+                columns = [piece.column("row"), text, *_search_rows(piece.column("text"), asked)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "item_ids", "spans"])
+
+    found = rows.mapInArrow(lean(search), f"row {rows.schema['row'].dataType.simpleString()}, text string, {_FOUND}")
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end_word"] - s["first_word"])
-    return found.select("row", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
+    return found.select("row", "text", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
 
 
 def contaminated() -> Column:

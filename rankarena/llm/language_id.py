@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankarena.llm.batches import pieces, text_bytes
+from rankarena.sources.scratch import written
 
 UNDETERMINED = "und"
 WINDOW_BYTES = 128
@@ -26,7 +27,7 @@ HIDDEN = 12
 #: Bounds of what is learned from.
 SAMPLE_PER_LANG = 400
 EXCERPT_CHARS = 256
-MAX_LANGS = 500
+SAMPLED = 200_000
 EPOCHS = 12
 HELD_OUT_FOLDS = 5
 _BATCH = 128
@@ -211,23 +212,27 @@ def pooled(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 
 
 def training_sample(docs: DataFrame, *, text_col: str, lang_col: str, sample_per_lang: int, excerpt_chars: int) -> list[tuple[str, str]]:
-    """(language, excerpt) of about ``sample_per_lang`` different texts a language, and never more than twice that."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
+    """(language, excerpt) of about ``sample_per_lang`` different texts a language, or all that it has.
+
+    Different texts are counted by a sketch that is off by a few hundredths, so a language of many copies has its share, too.
+    The sample is bounded by ``SAMPLED`` texts: where there are too many languages for that, each has fewer texts.
+    """
+    rows = docs.select(
+        F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(f"`{text_col}`", F.lit("sample")).alias("key"), F.col(f"`{text_col}`").alias("text")
+    ).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = written(rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("texts")), "languages")
+    langs = counts.count()
+    if not langs:
         return []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, sample_per_lang / r["n"]))])
-    key = F.xxhash64("text", F.lit("sample"))
+    wanted = min(sample_per_lang, max(1, SAMPLED // langs))
+    # A little more than wanted, as hashes fall unevenly; then the smallest hashes.
+    share = F.least(F.lit(1.0), (wanted + 4 * F.sqrt(F.lit(wanted)) + 8) / F.col("texts"))
     start = 1 + F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - excerpt_chars, F.lit(1)))
-    chosen = (
-        rows.where(F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-        .select("lang", F.substring("text", start, F.lit(excerpt_chars)).alias("excerpt"))
-        .dropDuplicates()
-        .limit(2 * sample_per_lang * len(counts))
-    )
-    return [(r["lang"], r["excerpt"]) for r in chosen.collect()]
+    near = rows.join(counts, "lang").where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30))
+    once = near.groupBy("lang", "key").agg(F.min(F.substring("text", start, F.lit(excerpt_chars))).alias("excerpt"))
+    smallest = Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "key")
+    chosen = once.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= wanted)
+    return [(r["lang"], r["excerpt"]) for r in chosen.orderBy("lang", "place").select("lang", "excerpt").collect()]
 
 
 def held_out(id_col: str):  # noqa: ANN201
@@ -236,9 +241,10 @@ def held_out(id_col: str):  # noqa: ANN201
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """For each row of ``docs``: the row, ``lang_pred``, ``score``, and by language ``probabilities`` and ``positions``."""
+    """For each row: ``row`` (all columns but the text), ``lang_pred``, ``score``, and by language ``probabilities`` and ``positions``."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*(rest or [F.lit(None).alias("none")])).alias("row"),
         F.col(f"`{text_col}`").alias("text"),
         F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )

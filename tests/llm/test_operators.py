@@ -21,6 +21,7 @@ from rankarena.llm import (
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id bigint, text string, lang string, kept string, row string"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def frame(spark, texts, langs=None):
@@ -151,10 +152,14 @@ def test_contamination_equals_brute_force(spark, block_words):
     texts = mixed_texts(4, 60)
     items = [(k, " ".join((rng.choice(texts[5:]) or "").split()[: rng.randint(0, 30)])) for k in range(12)] + [(12, None), (None, "w1 w2")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontaminate.find_contamination(frame(spark, texts), benchmark, block_words=block_words)
+    found = decontaminate.find_contamination(frame(spark, texts), benchmark, block_words=block_words, keep_text=True).collect()
     items = [("null" if k is None else k, t) for k, t in items]
-    for row in found.collect():
-        assert (row["n_words"], row["n_hit"], row["item_ids"]) == contamination_by_force(row["row"]["text"], items)
+    assert sorted((r["row"]["doc_id"], r["text"]) for r in found) == list(enumerate(texts)) and "text" not in found[0]["row"]
+    for row in found:
+        assert (row["n_words"], row["n_hit"], row["item_ids"]) == contamination_by_force(row["text"], items)
+        for span in row["spans"]:
+            words = re.findall(WORD, row["text"].translate(UPPER))[span["first_word"] : span["end_word"]]
+            assert re.findall(WORD, row["text"][span["start"] : span["end"]].translate(UPPER)) == words
     assert decontaminate.find_contamination(frame(spark, texts), benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
@@ -226,37 +231,48 @@ def test_network_gradients_and_predictions(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).replace("", None)).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one_and_equals_a_plain_model(spark):
-    texts = ["abracadabra", "abrac", "cadabra abra"] * 3
-    levels = quality.model_levels(frame(spark, texts), order=3)
-    context = ord("a") << 16 | ord("b") << 8
-    grams = spark.createDataFrame([(context | w,) for w in range(256)], "g bigint")
-    logs = quality.log_probabilities(grams, levels, order=3).collect()
-    assert len(logs) == 256 and abs(sum(np.exp(r["logp"]) for r in logs) - 1) < 1e-5
-    by_gram = {r["g"]: r["logp"] for r in logs}
-    assert by_gram[context | ord("r")] == max(by_gram.values())
-
-
-def test_quality_rejects_noise_and_keeps_clean_texts(spark):
-    rng = random.Random(8)
-    clean = [" ".join(rng.choices(["the", "river", "runs", "down", "to", "sea", "and", "rests"], k=60)) for _ in range(150)]
-    noise = ["".join(rng.choices("#%&*QXZ$", k=300)) for _ in range(10)]
-    docs = frame(spark, [*clean, *noise, None, "", "Aha."])
-    labels = spark.createDataFrame([(k, 1) for k in range(120)] + [(3, 0)], "doc_id bigint, quality int")
-    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
-    assert all(kept[k] for k in [*range(150), 160, 161, 162]) and not any(kept[k] for k in range(150, 160))
-    accepted = quality.accepted(docs, labels)
-    assert accepted.columns == docs.columns and accepted.count() == 153
-    assert all(r["kept"] for r in quality.classify(docs, labels.limit(0)).collect())
-
-
-def test_quality_rejects_repeated_words_and_short_noise(spark):
-    rng = random.Random(9)
-    clean = [" ".join(rng.choices([a + b for a in ("ri", "se", "an", "mo", "tu") for b in ("ver", "ast", "den", "il", "or")], k=60)) for _ in range(120)]
-    docs = frame(spark, [*clean, *[" ".join([clean[k].split()[0]] * 60) for k in range(5)], "#%&*QXZ$" * 2 + "!?=+<>^~"])
-    labels = spark.createDataFrame([(k, 1) for k in range(120)], "doc_id bigint, quality int")
-    kept = {r["doc_id"]: r["kept"] for r in quality.classify(docs, labels).collect()}
-    assert not any(kept[k] for k in range(120, 126)) and sum(kept[k] for k in range(120)) >= 118
+def test_sample_counts_different_texts_and_has_all_languages(spark):
+    texts = [f"text {k} of many" for k in range(300)] + ["the same"] * 2000 + [f"of copies {k % 30}" for k in range(1200)] + [f"rare {k}" for k in range(501)]
+    langs = ["aa"] * 300 + ["bb"] * 2000 + ["bb"] * 1200 + [f"l{k:03d}" for k in range(501)]
+    docs = frame(spark, texts, langs)
+    sample = language_id.training_sample(docs, text_col="text", lang_col="lang", sample_per_lang=40, excerpt_chars=100)
+    counts = collections.Counter(lang for lang, _ in sample)
+    assert counts["aa"] == 40 and counts["bb"] == 31 and all(counts[f"l{k:03d}"] == 1 for k in range(501))
+    assert sorted(sample) == sorted(set(sample)) == sorted(language_id.training_sample(
+        docs.repartition(7), text_col="text", lang_col="lang", sample_per_lang=40, excerpt_chars=100))
+
+
+def test_forward_pass_and_pooling_equal_plain_loops():
+    rng = np.random.default_rng(1)
+    langs, hidden = 3, 4
+    params = language_id.new_params(langs, hidden, rng)
+    body = rng.integers(0, 256, 2 * language_id.WINDOW_BYTES).astype(np.uint8)
+
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    def states(way, window):
+        table, u, h, found = params[f"{way}E"].astype(float), params[f"{way}U"].astype(float), np.zeros(hidden), []
+        for byte in window:
+            given, back = table[:, byte], u @ h
+            keep, reset = sigmoid(given[:hidden] + back[:hidden]), sigmoid(given[hidden : 2 * hidden] + back[hidden : 2 * hidden])
+            new = np.tanh(given[2 * hidden :] + u[2 * hidden :] @ (reset * h))
+            h = keep * h + (1 - keep) * new
+            found.append(h)
+        return found
+
+    expected, labels = [], []
+    for start in range(0, len(body), language_id.WINDOW_BYTES):
+        window = body[start : start + language_id.WINDOW_BYTES]
+        for f, b in zip(states("f", window), states("b", window[::-1])[::-1], strict=True):
+            logits = params["O"].astype(float) @ np.concatenate((f, b)) + params["c"][:, 0]
+            p = np.exp(logits - logits.max())
+            expected.append(p / p.sum())
+            labels.append(int(p.argmax()))
+    model = language_id.Model(["a", "b", "c"], params)
+    mean, positions = language_id.pooled(model, body, np.array([0, len(body)]))
+    assert np.allclose(mean[0], np.mean(expected, axis=0), atol=1e-4)
+    assert positions[0].tolist() == np.bincount(labels, minlength=langs).tolist()
 
 
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
