@@ -30,8 +30,9 @@ def dissimilar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def unseen_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark passages."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~decontaminate.contaminated()).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=True)
+    clean = found.where(~decontaminate.contaminated())
+    return clean.select(*[F.col("text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
