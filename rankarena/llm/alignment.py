@@ -16,6 +16,7 @@ columns are left out, whatever their names.
 """
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -95,17 +96,30 @@ class PieceTokenizer:
             self._known.clear()
             self._chars = 0
         new = list(set().union(*cut).difference(self._known))
-        # The tokenizer puts one space before what it gets. Nothing after that space is a chunk of its own.
-        for chunk, ids in zip(new, self._pieces.encode([c[1:] for c in new], num_threads=1), strict=True):
-            ids = ids if len(chunk) > 1 else [self._space]
-            spelt = b"".join(map(self._labels.__getitem__, ids)) == chunk.encode()
-            self._known[chunk] = np.array(ids, "<u4").tobytes() if spelt else None
-            self._chars += len(chunk)
+        self._learn(new)
         known = self._known.__getitem__
         for chunks in cut:
             parts = list(map(known, chunks))
             yield None if None in parts else np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
 
+    def _learn(self, chunks: list[str]) -> None:
+        # The tokenizer puts one space before what it gets. Nothing after that space is a chunk of its own.
+        found = self._pieces.encode([c[1:] for c in chunks], num_threads=1)
+        found = [ids if len(c) > 1 else [self._space] for c, ids in zip(chunks, found, strict=True)]
+        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4")
+        ends = list(itertools.accumulate(map(len, found), initial=0))
+        stored = flat.tobytes()
+        # Together they spell the chunks nearly always; then so does each that spells as many bytes as its chunk has.
+        bodies = [c.encode() for c in chunks]
+        sizes = np.diff(np.concatenate(([0], np.cumsum(self.lengths[flat])))[ends])
+        if sizes.tolist() == list(map(len, bodies)) and b"".join(map(self._labels.__getitem__, flat.tolist())) == b"".join(bodies):
+            spelt = itertools.repeat(True)
+        else:
+            spelt = (b"".join(map(self._labels.__getitem__, ids)) == body for ids, body in zip(found, bodies, strict=True))
+        for chunk, start, end, same in zip(chunks, ends, ends[1:], spelt):
+            self._known[chunk] = stored[4 * start : 4 * end] if same else None
+        self._chars += sum(map(len, chunks))
+
 
 @dataclass
 class Alignment:
@@ -116,6 +130,10 @@ class Alignment:
     cut_a: np.ndarray
     cut_b: np.ndarray
 
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids of A and of B each group has."""
+        return self.cut_a - np.concatenate(([0], self.cut_a[:-1])), self.cut_b - np.concatenate(([0], self.cut_b[:-1]))
+
 
 _NONE = np.zeros(0, np.int64)
 _EMPTY = Alignment(_NONE, _NONE, _NONE, _NONE)
@@ -153,7 +171,7 @@ def aligner(file_a: str, file_b: str) -> Aligner:
 
 def expanded(found: Alignment) -> tuple[np.ndarray, np.ndarray]:
     """The different pairs of linked ids, sorted, and how many links each has."""
-    n_a, n_b = np.diff(found.cut_a, prepend=0), np.diff(found.cut_b, prepend=0)
+    n_a, n_b = found.sizes()
     upto = np.cumsum(n_a * n_b)
     parts, start = [], 0
     while start < len(upto):
@@ -213,7 +231,7 @@ def group_text(found: Alignment) -> bytes:
     total = len(found.a) + len(found.b)
     high = 1 << int(max(found.a.max(), found.b.max())).bit_length()
     digits = _digits(max(high, 1 << 16))
-    n_a, n_b = np.diff(found.cut_a, prepend=0), np.diff(found.cut_b, prepend=0)
+    n_a, n_b = found.sizes()
     at_a = np.arange(len(found.a)) + np.repeat(found.cut_b - n_b, n_a)
     at_b = np.arange(len(found.b)) + np.repeat(found.cut_a, n_b)
     out = np.empty((total, digits.shape[1] + 1), np.uint8)
