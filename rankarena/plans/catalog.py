@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from rankarena import schema
 from rankarena.fixed_values import BOT_NAMES
 from rankarena.functions import ids, scores, text
-from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, terms
+from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, terms, training
 from rankarena.plans import competition as arena
 from rankarena.sources import sinks, tables, trec
-from rankarena.sources.scratch import scratch_path
+from rankarena.sources.scratch import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -423,6 +423,35 @@ def rank_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the documents that ``labels`` has, with their quality as label."""
+    judged = arena.entries(spark, sf_dir).join(arena.table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    labels = judged.select("query_id", "docno", F.col("qrel").alias("rel"))
+    rows = features.ltr_features(
+        docs=_docs(spark, sf_dir).join(judged.select("docno"), "docno", "left_semi"),
+        queries=arena.queries_table(spark, sf_dir),
+        scores=arena.embedding_scores(spark, sf_dir),
+        qrels=labels,
+    )
+    return _rounded(rows, schema.FEATURE_COLUMNS)
+
+
+@query
+def trained_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a trained ensemble ranks the judged documents of queries that it hasn't seen, beside each feature alone."""
+    rows = written(_judged_features(spark, sf_dir), "judged")
+    unseen = F.pmod(F.xxhash64("query_id"), F.lit(4)) == 0
+    model = training.train_ensemble(
+        rows.where(~unseen), scope_cols=["query_id"], settings=training.Settings(trees=12, depth=4, learning_rate=0.2)
+    )
+    scored = ensemble.score_ensemble(rows.where(unseen), model, keep=["query_id", "docno", "label", *schema.FEATURE_COLUMNS])
+    rankers = {"ensemble": "score"} | {c: c for c in schema.FEATURE_COLUMNS}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("ranker"), F.col(c).alias("score")) for name, c in rankers.items()]))
+    told = scored.select("query_id", "docno", "label", each.alias("r")).select("query_id", "docno", "label", "r.*")
+    by_field = training.ndcg(told, scope_cols=["ranker", "query_id"])
+    return by_field.groupBy("ranker").agg(F.count(F.lit(1)).alias("fields"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
 # Competition steps and prompts
 
 
