@@ -32,9 +32,9 @@ from rankarena.sources.scratch import written
 
 ORDER = 5
 #: Bytes of text that are scored together.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: Shards that a task scores, one after another: a hash deals a few to each task more evenly than one.
-SHARDS_PER_TASK = 4
+SHARDS_PER_TASK = 2
 QUANTILE = 0.99
 #: Of held-out trusted texts of like length, so many are not over a threshold; short texts vary more than long ones.
 SHORT_QUANTILE = 0.999
