@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from rankarena.operators.tree_blocks import score_by_blocks
 from rankarena.sources.scratch import written
 
 MAX_NODES = 1_000_000
@@ -29,16 +30,19 @@ def score_ensemble(
     """``keep`` columns plus ``score``, the sum of the leaf values over all trees in the order of their numbers.
 
     All strategies give the same rows: one per input row, repeated rows included, with score 0 for an empty model. A
-    null or NaN feature goes right. A feature that the model asks for and the rows lack is an error. A small model becomes one native expression, a larger one arrays that go to the tasks. Only up to
-    ``max_nodes`` nodes are fetched for that; a model beyond them stays a table and is walked by joins.
+    null or NaN feature goes right. A feature that the model asks for and the rows lack is an error.
+
+    A small model becomes one native expression, a larger one arrays that go to the tasks. Only up to ``max_nodes`` nodes
+    are fetched for that; a model beyond them stays a table, of which tasks read a block of trees at a time. Walking it
+    by joins, a row for each row and tree, takes no Python but much more work, so it must be asked for.
     """
-    if strategy not in ("auto", "case", "arrays", "joins"):
+    if strategy not in ("auto", "case", "arrays", "blocks", "joins"):
         raise ValueError(f"unknown strategy {strategy!r}")
     nodes: list[Row] = []
-    if strategy != "joins":
+    if strategy not in ("blocks", "joins"):
         nodes = model.limit(max_nodes + 1).collect()
-    by_joins = strategy == "joins" or len(nodes) > max_nodes
-    if by_joins:
+    stays = strategy in ("blocks", "joins") or len(nodes) > max_nodes
+    if stays:
         # One more than there are columns: enough to find one that is missing.
         asked = model.where(F.col("left").isNotNull()).select("feature").distinct().limit(len(features.columns) + 1)
         used = sorted(r["feature"] for r in asked.collect())
@@ -47,8 +51,10 @@ def score_ensemble(
     missing = [f"f{f}" for f in used if f"f{f}" not in features.columns]
     if missing:
         raise ValueError(f"the model asks for features that the rows lack: {', '.join(missing)}")
-    if by_joins:
+    if strategy == "joins":
         return _walk_by_joins(features, model, keep, used)
+    if stays:
+        return score_by_blocks(features, model, keep=keep, used=used)
     if strategy == "case" or (strategy == "auto" and len(nodes) <= _MAX_CASE_NODES):
         return features.select(*keep, _case_score(nodes).alias("score"))
     return features.select(*keep, _array_score(nodes).alias("score"))

@@ -12,7 +12,7 @@ from rankarena.fixed_values import BOT_NAMES
 from rankarena.functions import ids, scores, text
 from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, terms, training
 from rankarena.plans import competition as arena
-from rankarena.sources import sinks, tables, trec
+from rankarena.sources import quoted_csv, sinks, tables, trec
 from rankarena.sources.scratch import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,6 +178,25 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv_table(spark, path, schema.COMPETITION)
 
 
+def _csv_pairs(spark: SparkSession, found: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "csv-pairs")
+    sinks.write_csv_table(found.select(*schema.PAIRS.names), path)
+    return quoted_csv.read_quoted_csv(spark, path, schema.PAIRS)
+
+
+@query
+def csv_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of improvements as a file with prompts and completions, and back."""
+    return _csv_pairs(spark, improvement_pairs(spark, sf_dir))
+
+
+@query
+def csv_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_pairs(spark, sf_dir)
+    back = _csv_pairs(spark, found.withColumns({c: F.lit(0) for c in ("delta", "delta_2", "delta_3")}))
+    return back.select(*found.columns)
+
+
 @query
 def epoch_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "epochs")
@@ -397,6 +416,11 @@ def ensemble_scores_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ensemble_scores(spark, sf_dir, "joins")
 
 
+@query
+def ensemble_scores_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensemble_scores(spark, sf_dir, "blocks")
+
+
 def load_vowel_scorer() -> neural.Scorer:
     """Stands in for a model: two logits, the second one is the share of vowels in query and text."""
 

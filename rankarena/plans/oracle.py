@@ -367,6 +367,8 @@ SELECT query_id, 'Q0' AS q0, docno, place AS rank, -place::DOUBLE AS score, 'ind
 WITH {COMP}, {_features(_CORPUS_DOCS)}, {_NEURAL_CORPUS}
 SELECT feats.query_id, docno, 0.0::DOUBLE AS label, {_ROUNDED} FROM feats JOIN scaled USING (docno)""",
     "csv_roundtrip": f"WITH {COMP} SELECT {_TABLE} FROM comp",
+    "csv_improvements": _improvement_pairs(),
+    "csv_tops": _top_pairs(COMP, "pos <= 4", swapped=False),
     "epoch_json_roundtrip": f"""
 WITH {COMP}, bots AS (SELECT unnest(['NMABOT', 'NMTBOT']) AS bot)
 SELECT query_id, round_number + 1 AS epoch, bot, CASE WHEN author_id = '00' THEN bot ELSE author_id END AS author_id,
@@ -443,6 +445,7 @@ WITH {COMP}, {_NEURAL_FIELD} SELECT docno, query_id, round_number, round(round(f
     "ensemble_scores": _ENSEMBLE_SCORES,
     "ensemble_scores_arrays": _ENSEMBLE_SCORES,
     "ensemble_scores_joins": _ENSEMBLE_SCORES,
+    "ensemble_scores_blocks": _ENSEMBLE_SCORES,
     "neural_scores": f"""
 WITH {COMP}, shares AS (
   SELECT docno, (length(query || text) - length(regexp_replace(query || text, '[aeiou]', '', 'g')))::DOUBLE
