@@ -4,7 +4,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rankarena import schema
@@ -291,28 +291,43 @@ def trajectory_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds.rank_deltas(arena.competition(spark, sf_dir))
+    return rounds.rank_deltas(arena.asked_entries(spark, sf_dir))
 
 
 @query
 def improvement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.improvement_pairs(_deltas(spark, sf_dir))
+    return pairs.improvement_pairs(_deltas(spark, sf_dir), texts=arena.texts(spark, sf_dir))
+
+
+@query
+def dropped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows form no pair for want of another text, counted while the pairs are computed."""
+    told = []
+    for name, made in (
+        ("improvements", lambda c: pairs.improvement_pairs(_deltas(spark, sf_dir), texts=arena.texts(spark, sf_dir), counts=c)),
+        ("improvements_by_lag", lambda c: pairs.improvement_pairs(_deltas(spark, sf_dir), texts=arena.texts(spark, sf_dir), match_lag=True, counts=c)),
+        ("tops", lambda c: pairs.top_pairs(arena.asked_entries(spark, sf_dir), texts=arena.texts(spark, sf_dir), counts=c)),
+    ):
+        counts = Observation(name)
+        written(made(counts), f"pairs-{name}")
+        told.append((name, counts.get["rows"], counts.get["without_other_text"]))
+    return spark.createDataFrame(told, "pairs string, rows bigint, dropped bigint")
 
 
 @query
 def improvement_pairs_match_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.improvement_pairs(_deltas(spark, sf_dir), match_lag=True, clean_all=True)
+    return pairs.improvement_pairs(_deltas(spark, sf_dir), texts=arena.texts(spark, sf_dir), match_lag=True, clean_all=True)
 
 
 @query
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.top_pairs(arena.competition(spark, sf_dir))
+    return pairs.top_pairs(arena.asked_entries(spark, sf_dir), texts=arena.texts(spark, sf_dir))
 
 
 @query
 def top_pairs_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = arena.competition(spark, sf_dir, authors=arena.WIDE_AUTHORS)
-    return pairs.top_pairs(wide, legacy=True, direction="worse_to_better")
+    wide, texts = (f(spark, sf_dir, authors=arena.WIDE_AUTHORS) for f in (arena.asked_entries, arena.texts))
+    return pairs.top_pairs(wide, texts=texts, legacy=True, direction="worse_to_better")
 
 
 @query

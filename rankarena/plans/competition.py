@@ -76,6 +76,20 @@ def competition(spark: SparkSession, sf_dir: str, *, authors: int = AUTHORS) ->
     )
 
 
+def texts(spark: SparkSession, sf_dir: str, *, authors: int = AUTHORS) -> DataFrame:
+    """(docno, text) of all entries, worked out row by row."""
+    n_queries = _number_of(table(spark, sf_dir, "benchmark"))
+    dealt = table(spark, sf_dir, "documents").select("doc_id", "text", n_queries.alias("n_queries"))
+    turn = f"(doc_id div n_queries) div {authors}", "doc_id % n_queries", f"(doc_id div n_queries) % {authors}"
+    return dealt.select(F.format_string("ROUND-%02d-%03d-%02d", *[F.expr(e) for e in turn]).alias("docno"), "text")
+
+
+def asked_entries(spark: SparkSession, sf_dir: str, *, authors: int = AUTHORS) -> DataFrame:
+    """The competition table without its texts."""
+    rows = entries(spark, sf_dir, authors=authors).join(queries_table(spark, sf_dir), "query_id")
+    return rows.select("docno", "round_number", "query_id", "author_id", "query", "qrel", "ksrel", "pos")
+
+
 def embedding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for a neural model: dot product of a document's and its query's vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

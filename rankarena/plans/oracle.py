@@ -122,6 +122,24 @@ SELECT * REPLACE ({text} AS text, {completion} AS completion),
 FROM kept"""
 
 
+_PLACES = "SELECT DISTINCT query_id, author_id, round_number FROM comp"
+
+_DROPPED_PAIRS = rf"""
+WITH {_deltas()}, places AS ({_PLACES}),
+improved AS (
+  SELECT m.*, p.query_id IS NULL AS dropped
+  FROM moved m LEFT JOIN places p ON p.query_id = m.query_id AND p.author_id = m.author_id AND p.round_number = m.round_number - 1
+  WHERE (m.delta > 0 OR m.delta_2 > 0 OR m.delta_3 > 0) AND m.ksrel <> 3),
+eligible AS (SELECT * FROM comp WHERE pos <= 4 AND ksrel <> 3),
+lower_text AS (SELECT DISTINCT query_id, round_number, true AS found FROM eligible WHERE pos > 1),
+winners AS (SELECT found IS NULL AS dropped FROM eligible LEFT JOIN lower_text USING (query_id, round_number) WHERE pos = 1)
+SELECT 'improvements' AS pairs, count(*) AS rows, count(*) FILTER (dropped) AS dropped FROM improved
+UNION ALL
+SELECT 'improvements_by_lag', coalesce(sum((delta > 0)::INT + (delta_2 > 0)::INT + (delta_3 > 0)::INT), 0)::BIGINT, 0 FROM improved
+UNION ALL
+SELECT 'tops', count(*), count(*) FILTER (dropped) FROM winners"""
+
+
 def _features(docs: str, topics: str = "topics") -> str:
     """CTEs up to ``feats``; ``docs`` selects ``docno, query_id, s, text`` with the scope in ``s``."""
     five = lambda v: (
@@ -413,6 +431,7 @@ SELECT author_id, query_id, min(round_number) AS first_round, max(round_number)
 FROM comp GROUP BY ALL""",
     "improvement_pairs": _improvement_pairs(),
     "improvement_pairs_match_lag": _improvement_pairs_match_lag(),
+    "dropped_pairs": _DROPPED_PAIRS,
     "top_pairs": _top_pairs(COMP, "pos <= 4", swapped=False),
     "top_pairs_legacy": _top_pairs(WIDE, "regexp_matches(pos::VARCHAR, '1|2|3|4')", swapped=True),
     "finetune_prompts": f"""

@@ -1,7 +1,12 @@
+import re
+
+import pytest
 from conftest import rows
+from pyspark.sql import Observation
 
 from rankarena import schema
 from rankarena.operators import corpus, pairs, rounds
+from rankarena.plans import catalog
 
 
 def comp(spark, values):
@@ -58,6 +63,37 @@ def test_improvement_pairs(spark):
     assert (row.text, row.completion) == ("old \\ text", "new  text") and "'old \\ text'" in row.prompt
 
 
+def test_dropped_rows_are_counted(spark):
+    table = comp(
+        spark,
+        [
+            (1, "001", "a", "old", 2, 5), (2, "001", "a", "new", 2, 2), (1, "002", "a", "gone", 2, 5), (3, "002", "a", "late", 2, 1),
+            (1, "003", "a", "alone", 2, 1), (1, "004", "a", "won", 2, 1), (1, "004", "b", "lost", 2, 2), (9, "005", "a", None, 2, 4), (10, "005", "a", "x", 2, 1),
+        ],
+    )
+    deltas, texts = rounds.rank_deltas(table), table.select("docno", "text")
+    for given in (deltas, deltas.drop("text")):
+        counts = Observation()
+        made = pairs.improvement_pairs(given, texts=texts, counts=counts)
+        assert rows(made.fillna("null"), "text", "completion") == [("new", "old"), ("x", "null")]
+        assert counts.get == {"rows": 3, "without_other_text": 1}
+    counts = Observation()
+    assert rows(pairs.top_pairs(table, counts=counts), "text", "completion") == [("won", "lost")]
+    assert counts.get == {"rows": 4, "without_other_text": 3}
+
+
+def text_exchanges(df):
+    """Shuffles of the plan that carry a text."""
+    plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", plan)
+    return sum(bool(re.search(r"\b(text|completion)#", given)) for given in inputs)
+
+
+@pytest.mark.parametrize("name", ["improvement_pairs", "improvement_pairs_match_lag", "top_pairs"])
+def test_texts_move_twice_at_most(spark, name):
+    assert text_exchanges(catalog.QUERIES[name](spark, "/root/testdata/sf0.01")) <= 2
+
+
 def test_equal_pairs_are_kept_once_and_unequal_ones_are_not_confused(spark):
     table = comp(
         spark,
