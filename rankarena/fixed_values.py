@@ -64,6 +64,10 @@ WHITE_SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 
+# Tokens of a (query, text) pair that the neural model reads, and how many of them are its own.
+PAIR_TOKENS = 512
+PAIR_SPECIAL_TOKENS = 3
+
 # --- Own choices: the originals are not published, any change shifts feature values. ---
 
 TOKEN = r"[\p{L}\p{N}]+"

@@ -441,7 +441,7 @@ def load_vowel_scorer() -> neural.Scorer:
 
     def score(queries: list[str], texts: list[str]) -> np.ndarray:
         inputs = [q + t for q, t in zip(queries, texts, strict=True)]
-        return np.array([[0.0, sum(map(i.count, "aeiou")) / len(i)] for i in inputs])
+        return np.array([[0.0, sum(map(i.count, "aeiou")) / max(len(i), 1)] for i in inputs])
 
     return score
 

@@ -1,4 +1,7 @@
 import numpy as np
+import uuid
+from pathlib import Path
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -197,3 +200,50 @@ def test_epoch_step_with_a_scorer_and_authors_of_one_segment(spark):
     model = spark.createDataFrame(nodes, TREE_ENSEMBLE)
     made = ranking.epoch_step(field=field, candidates=candidates, queries=queries, model=model, load_scorer=load_length_scorer)
     assert rows(made, "author_id", "text", "rank") == [("04", "four", 2), ("07", "twenty words of text", 1), ("BOT", "a new text", 3)]
+
+
+def test_equal_pairs_are_scored_once_and_null_texts_count_as_empty(spark, tmp_path):
+    texts = ["same", "same", None, "", "longer text", "same", None]
+    pairs = spark.createDataFrame([(f"d{k}", "q", t) for k, t in enumerate(texts)], "docno string, query string, text string")
+    seen = str(tmp_path)
+
+    def load_counting_scorer():
+        def score(queries, given):
+            for k, (q, t) in enumerate(zip(queries, given, strict=True)):
+                (Path(seen) / f"{uuid.uuid4().hex}").write_text(f"{q}|{t}")
+            return [[float(len(q) + len(t))] for q, t in zip(queries, given, strict=True)]
+
+        return score
+
+    made = dict(rows(neural.neural_scores(pairs, load_counting_scorer, keep=["docno"], batch_size=2)))
+    assert made == {f"d{k}": 1.0 + len(t or "") for k, t in enumerate(texts)}
+    assert sorted(f.read_text() for f in tmp_path.iterdir()) == ["q|", "q|longer text", "q|same"]
+
+
+def test_pairs_are_cut_token_by_token_from_the_longer_side():
+    for query in range(0, 9):
+        for text in range(0, 9):
+            for length in range(3, 20):
+                left = [query, text]
+                while sum(left) + 3 > length:
+                    left[0 if left[0] > left[1] else 1] -= 1
+                assert neural.kept_of_pair(query, text, length) == tuple(left)
+
+
+def test_scorers_get_pairs_of_the_declared_length(spark):
+    class Words:
+        names = ["zero", *[f"w{k}" for k in range(30)]]
+
+        def encode(self, text):
+            return [self.names.index(w) for w in text.split()]
+
+        def decode(self, ids):
+            return " ".join(self.names[i] for i in ids)
+
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (2, 9, 25)]
+    pairs = spark.createDataFrame([(f"d{k}", "w1 w2 w3", t) for k, t in enumerate(texts)], "docno string, query string, text string")
+    scores = neural.neural_scores(
+        pairs, lambda: lambda q, t: [[float(len(x.split()) + 100 * len(y.split()))] for x, y in zip(q, t, strict=True)],
+        keep=["docno"], load_tokenizer=Words, pair_length=12,
+    )
+    assert dict(rows(scores)) == {"d0": 203.0, "d1": 603.0, "d2": 603.0}
