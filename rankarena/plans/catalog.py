@@ -12,7 +12,7 @@ from rankarena.fixed_values import BOT_NAMES
 from rankarena.functions import ids, scores, text
 from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, terms, training
 from rankarena.plans import competition as arena
-from rankarena.sources import quoted_csv, sinks, tables, trec
+from rankarena.sources import map_files, quoted_csv, results, sinks, tables, trec
 from rankarena.sources.scratch import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,6 +207,29 @@ def epoch_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_epoch_states(spark, path)
 
 
+@query
+def epoch_map_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files for each field, and back."""
+    path = scratch_path(spark, "maps")
+    map_files.write_epoch_map_files(arena.epoch_history(spark, sf_dir, bot_type="all"), path)
+    return map_files.read_epoch_map_lines(spark, path)
+
+
+@query
+def generated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come back in two runs, the first of which is repeated: topics with the documents that fit."""
+    path = scratch_path(spark, "results")
+    topics = arena.topics_table(spark, sf_dir)
+    # The text of a document stands in for what is generated for its topic.
+    made = topics.select("topic_id", F.col("backstory").alias("doc"))
+    first = made.where(F.pmod(F.xxhash64("topic_id"), F.lit(2)) == 0)
+    for batch, some in (("run-1", first), ("run-1", made.limit(0)), ("run-2", made)):
+        waiting = results.waiting_topics(topics, path)
+        results.commit_batch(some.join(waiting.select("topic_id"), "topic_id", "left_semi"), path, batch)
+    told = results.read_results(spark, path).select("topic_id", "accepted")
+    return results.topics_with_documents(topics, results.read_results(spark, path)).join(told, "topic_id").select("topic_id", "topic_title", "doc", "accepted")
+
+
 @query
 def topics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "topics")

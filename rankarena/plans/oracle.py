@@ -392,6 +392,14 @@ WITH {COMP}, bots AS (SELECT unnest(['NMABOT', 'NMTBOT']) AS bot)
 SELECT query_id, round_number + 1 AS epoch, bot, CASE WHEN author_id = '00' THEN bot ELSE author_id END AS author_id,
        text, pos AS rank
 FROM comp, bots""",
+    "epoch_map_files_roundtrip": f"""
+WITH {COMP}
+SELECT query_id, round_number + 1 AS epoch, 'NMABOT' AS bot, CASE WHEN author_id = '00' THEN 'NMABOT' ELSE author_id END AS author_id,
+       text, pos AS rank
+FROM comp""",
+    "generated_documents": r"""
+SELECT doc_id::VARCHAR AS topic_id, source AS topic_title, CASE WHEN accepted THEN text END AS doc, accepted
+FROM (SELECT *, coalesce(len(regexp_extract_all(text, '\S+')) <= 150, false) AS accepted FROM documents)""",
     "topics_roundtrip": f"""
 WITH {_TOPIC_ROWS}
 SELECT topic_id, topic_title, q1 || '|' || q2 || '|' || q3 AS queries, description, backstory FROM topic_rows""",

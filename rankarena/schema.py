@@ -69,6 +69,7 @@ TOPICS = T.StructType(
         T.StructField("queries", T.ArrayType(T.StringType())),
         T.StructField("description", T.StringType()),
         T.StructField("backstory", T.StringType()),
+        T.StructField("doc", T.StringType()),
     ]
 )
 
