@@ -4,8 +4,9 @@ Of each text that speaks of a licence these parts are scored: every line that do
 headers); and, as blocks, the comment it opens with, the text from its first notice on, and the whole. Terms are weighted by
 frequency and by inverse frequency over the texts that speak of a licence, and a part's cosine with each template is a
 join on terms, so only terms that occur are ever multiplied. Blocks meet whole licences, lines meet headers and titles;
-a title without a version names no version. What a text declares by SPDX identifier counts first, as it is written, then
-a whole licence, a header, a title; among those of one kind the most similar counts, if similar enough. A licence file speaks for
+a title without a version names no version. What a text declares by SPDX expressions of known identifiers counts first, all
+of them together, then a whole licence, a header, a title; among those of one kind the most similar counts, if similar
+enough. An expression with an unknown identifier counts last, as ``LicenseRef-`` and that, and isn't inherited. A licence file speaks for
 its directory: a text with a licence whose file is named as one, or that opens with a notice (after blank lines or a
 heading set off by one) and of whose terms notices of licences make at least ``SHARE``. Texts without a licence of their own
 inherit from the nearest directory above them that has one: this is worked out once for each directory and then joined.
@@ -19,9 +20,11 @@ import re
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankarena.sources.scratch import written
+
 SIMILARITY = 0.6
 #: Whole licences differ by a few words only, and so do titles.
 LEAST_OF_BODIES = LEAST_OF_TITLES = 0.8
@@ -73,7 +76,10 @@ TITLES = [
 ]
 _OPENINGS = r"licen[sc]e|copyright|spdx|permission (?:is hereby granted|to use, copy)|redistribution and use|unencumbered software|without any express or implied"
 NOTICE = f"(?i){_OPENINGS}"
-SPDX = r"(?i)SPDX-License-Identifier:[^\S\n]*(\(?[a-z0-9][a-z0-9.+-]*\)?(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+\(?[a-z0-9][a-z0-9.+-]*\)?)*)"
+_IDENTIFIER = r"\(?[a-z0-9][a-z0-9.+-]*\)?"
+SPDX = rf"(?i)SPDX-License-Identifier:[^\S\n]*({_IDENTIFIER}(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+{_IDENTIFIER})*)"
+#: Texts that a task cuts into parts.
+TEXTS_PER_TASK = 256
 #: Lines of comments.
 COMMENT = r"^\s*(?:$|#|//|/\*|\*|--|;|%|<!--|\.\.)"
 TERM = r"[a-z0-9.]*[a-z0-9]"
@@ -89,30 +95,76 @@ def _terms(text):  # noqa: ANN001, ANN202
 
 
 def notices(docs: DataFrame, *, text_col: str, keys: list[str]) -> DataFrame:
-    """(keys, line, span, block, terms): parts that speak of a licence; ``span`` are lines, ``block`` is true for blocks."""
+    """(keys, line, span, block, terms): parts that speak of a licence; ``span`` are lines, ``block`` is true for blocks.
+
+    Parts are cut inside of the row, so that no line is there more often than the parts it is in.
+    """
     split = docs.where(F.col(text_col).rlike(NOTICE)).select(*keys, F.col(text_col).alias("_text"), F.split(text_col, "\n").alias("_lines"))
     numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
-    speaking = F.filter(numbers, lambda k: F.col("_lines")[k].rlike(NOTICE))
-    count, lines = F.size("_lines"), split.withColumn("_at", speaking)
+    count = F.size("_lines")
     code = F.array_position(F.transform("_lines", lambda x: ~x.rlike(COMMENT)), True).cast("int")
     comment = F.when(F.col("_lines")[0].rlike(r"^\s*/\*"), F.regexp_extract("_text", r"(?s)\A\s*+/\*(.*?)\*/", 1)).when(
         code > 1, F.array_join(F.slice("_lines", F.lit(1), code - 1), "\n")
     )
+
+    def part(line: Column, span: Column, text: Column, block: bool) -> Column:
+        return F.struct(line.alias("line"), span.alias("span"), text.alias("part"), F.lit(block).alias("block"))
+
+    def near(at: Column) -> Column:
+        return F.array(*[
+            # A window that begins with the line before is the window of that line, if it speaks of a licence, too.
+            F.when(
+                (at >= before) & (at + after < count) & (F.lit(True) if not before else ~F.get("_lines", at - 1).rlike(NOTICE)),
+                part(at - before, F.lit(before + after + 1), F.array_join(F.slice("_lines", at - before + 1, before + after + 1), "\n"), False),
+            )
+            for before, after in NEIGHBOURS
+        ])
+
+    lines = split.withColumn("_at", F.filter(numbers, lambda k: F.col("_lines")[k].rlike(NOTICE)))
     # A notice that is wrapped has its keyword on any of its lines; without such a line the whole text remains.
-    first = F.coalesce(F.col("_at")[0], F.lit(0))
+    first = F.coalesce(F.get("_at", F.lit(0)), F.lit(0))
     blocks = F.array(
-        F.struct(F.lit(0).alias("line"), count.alias("span"), F.col("_text").alias("part")),
-        F.struct(first.alias("line"), (count - first).alias("span"), F.when(first > 0, F.array_join(F.slice("_lines", first + 1, count), "\n")).alias("part")),
-        F.struct(F.lit(0).alias("line"), F.lit(0).alias("span"), comment.alias("part")),
+        part(F.lit(0), count, F.col("_text"), True),
+        part(first, count - first, F.when(first > 0, F.array_join(F.slice("_lines", first + 1, count), "\n")), True),
+        part(F.lit(0), F.lit(0), comment, True),
+    )
+    parts = lines.select(*keys, F.explode(F.concat(blocks, F.flatten(F.transform("_at", near)))).alias("p")).select(*keys, "p.*")
+    return parts.where("part IS NOT NULL").select(*keys, "line", "span", "block", _terms(F.col("part")).alias("terms"))
+
+
+def known_identifiers() -> list[str]:
+    """Identifiers of all templates, those of the GNU licences also with what later versions of them mean."""
+    names = {name for name, *_ in template_terms()}
+    gnu = {f"{name}-{which}" for name in names if re.match(r"[AL]?GPL-", name) for which in ("only", "or-later")}
+    return sorted(names | gnu | {name + "+" for name in names if re.match(r"[AL]?GPL-", name)})
+
+
+def declared_licenses(texts: DataFrame) -> DataFrame:
+    """(h, license, kind): what a text declares by SPDX expressions, all of them in their order, each once.
+
+    Kind 4 are expressions of known identifiers, and 0 the first other one as ``LicenseRef-`` and itself.
+    """
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)))
+    known = F.array(*[F.lit(name.lower()) for name in known_identifiers()])
+
+    def names(expression: Column) -> Column:
+        # Without parentheses, operators and exceptions.
+        plain = F.regexp_replace(F.regexp_replace(F.lower(expression), r"[()]", ""), r"\s+with\s+\S+", "")
+        return F.split(plain, r"\s+(?:and|or)\s+")
+
+    def is_known(expression: Column) -> Column:
+        return F.size(F.array_except(names(expression), known)) == 0
+
+    def bracketed(expression: Column) -> Column:
+        alone = (F.size("_known") == 1) | ~expression.rlike(r"(?i)\s+OR\s+") | expression.rlike(r"^\([^()]*\)$")
+        return F.when(alone, expression).otherwise(F.concat(F.lit("("), expression, F.lit(")")))
+
+    rows = texts.where(F.col("text").rlike(SPDX)).select("h", F.filter(found, is_known).alias("_known"), F.filter(found, lambda e: ~is_known(e)).alias("_other"))
+    whole = F.array_join(F.transform("_known", bracketed), " AND ")
+    first = F.concat(F.lit("LicenseRef-"), F.trim(F.regexp_replace(F.get("_other", F.lit(0)), r"[^A-Za-z0-9.-]+", "-")))
+    return rows.select(
+        "h", F.when(F.size("_known") > 0, whole).otherwise(first).alias("license"), F.when(F.size("_known") > 0, 4).otherwise(0).alias("kind")
     )
-    whole = lines.select(*keys, F.explode(blocks).alias("b")).select(*keys, "b.*", F.lit(True).alias("block"))
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEIGHBOURS])
-    spans = lines.select(*keys, "_lines", F.explode("_at").alias("at")).select("*", F.explode(near).alias("n"))
-    spans = spans.select(*keys, "_lines", (F.col("at") - F.col("n.a")).alias("line"), (F.col("n.a") + F.col("n.b") + 1).alias("span"))
-    spans = spans.where((F.col("line") >= 0) & (F.col("line") + F.col("span") <= F.size("_lines")))
-    near_lines = spans.select(*keys, "line", "span", F.array_join(F.slice("_lines", F.col("line") + 1, F.col("span")), "\n").alias("part"), F.lit(False).alias("block"))
-    parts = whole.unionByName(near_lines).where("part IS NOT NULL")
-    return parts.select(*keys, "line", "span", "block", _terms(F.col("part")).alias("terms")).distinct()
 
 
 def template_terms() -> list[tuple[str, int, int, str, int]]:
@@ -122,17 +174,21 @@ def template_terms() -> list[tuple[str, int, int, str, int]]:
     return [(k, kind, n, term, tf) for n, (k, kind, text) in enumerate(forms) for term, tf in Counter(re.findall(TERM, text.lower())).items()]
 
 
+def _idf(by_text: DataFrame, total: DataFrame) -> DataFrame:
+    counted = by_text.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
+    return counted.select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def similarities(found: DataFrame, *, keys: list[str]) -> DataFrame:
     """(keys, line, span, block, license, kind, similarity) of each part and each template with a common term."""
     spark = found.sparkSession
     templates = spark.createDataFrame(template_terms(), "license string, kind int, number int, term string, tf bigint")
     part, form = [*keys, "line", "span", "block"], ["license", "kind", "number"]
-    terms = found.select(*part, F.explode("terms").alias("term")).groupBy(*part, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = found.select(*part, F.explode("terms").alias("term")).groupBy(*part, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = written(counted, "license-terms")
     total = found.select(*keys).distinct().agg(F.count(F.lit(1)).alias("total"))
     by_text = terms.where("block").select(*keys, "term").distinct()
-    idf = by_text.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select(
-        "term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")
-    )
+    idf = written(_idf(by_text, total), "license-idf")
     rare = F.log(1 + F.col("total")) + 1
     tf = 1 + F.log("tf")
     known = templates.join(idf, "term", "left").crossJoin(F.broadcast(total)).select(*form, "term", (tf * F.coalesce("idf", rare)).alias("t"))
@@ -152,8 +208,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
         F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"),
     )
     # Equal texts have equal notices: each text is looked at once.
-    speaking = rows.where(F.col("text").rlike(NOTICE)).groupBy("h").agg(F.first("text").alias("text"))
-    texts = notices(speaking, text_col="text", keys=["h"])
+    once = rows.where(F.col("text").rlike(NOTICE)).groupBy("h").agg(F.first("text").alias("text"))
+    speaking = written(once, "license-texts")
+    # A text is a short row but makes many: without dealing, all would come from a few tasks.
+    dealt = speaking.repartition(1 + speaking.count() // TEXTS_PER_TASK)
+    texts = written(notices(dealt, text_col="text", keys=["h"]), "license-parts")
     bound = F.when(F.col("kind") == 3, LEAST_OF_BODIES).when(F.col("kind") == 1, LEAST_OF_TITLES).otherwise(least)
     scored = similarities(texts, keys=["h"]).where(F.col("similarity") >= bound)
     # A header or title stands for a version only if it names that.
@@ -161,14 +220,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     names = F.arrays_overlap("terms", F.array(version, F.regexp_replace(version, r"\.0$", ""), F.concat(F.lit("v"), version)))
     named = (F.col("kind") == 3) | (version == "") | names
     scored = scored.join(texts, ["h", "line", "span", "block"]).where(named).drop("terms")
-    declared = speaking.select("h", F.regexp_extract("text", SPDX, 1).alias("license")).where("license <> ''").select(
-        "h", F.lit(0).alias("line"), F.lit(1).alias("span"), F.lit(False).alias("block"), "license", F.lit(4).alias("kind"), F.lit(1.0).alias("similarity")
+    declared = declared_licenses(speaking).select(
+        "h", F.lit(0).alias("line"), F.lit(1).alias("span"), F.lit(False).alias("block"), "license", "kind", F.lit(1.0).alias("similarity")
     )
-    scored = scored.unionByName(declared)
+    scored = written(scored.unionByName(declared), "license-scores")
     # The smallest: the better kind, then the more similar, the first by name, the earlier and shorter part.
     order = F.struct((-F.col("kind")).alias("k"), (-F.col("similarity")).alias("s"), "license", "line", "span")
-    own = scored.groupBy("h").agg(F.min(order).alias("o")).select("h", "o.license", (-F.col("o.s")).alias("similarity"))
-    passed = scored.select("h", "line", "span", "block").distinct().join(texts, ["h", "line", "span", "block"])
+    own = scored.groupBy("h").agg(F.min(order).alias("o")).select("h", "o.license", (-F.col("o.s")).alias("similarity"), (F.col("o.k") < 0).alias("known"))
+    passed = scored.where("kind > 0").select("h", "line", "span", "block").distinct().join(texts, ["h", "line", "span", "block"])
     sizes = F.size("terms")
     covered = passed.groupBy("h").agg(
         F.greatest(F.max(sizes), F.coalesce(F.sum(F.when((F.col("span") == 1) & ~F.col("block"), sizes)), F.lit(0))).alias("covered")
@@ -178,7 +237,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     found = rows.drop("text").join(own.join(whole, "h", "left"), "h", "left")
 
     named = F.col("path").rlike(FILE_NAME) & ~F.col("path").rlike(SOURCE_NAME)
-    speaks = found.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (named | F.coalesce("mostly", F.lit(False))))
+    speaks = found.where(F.col("known") & F.col("path").isNotNull() & (named | F.coalesce("mostly", F.lit(False))))
     by_dir = speaks.groupBy("dir").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("best")).select(
         F.col("dir").alias("above"), F.col("best.license").alias("inherited"), F.lit(True).alias("_known")
     )
