@@ -427,6 +427,26 @@ def ltr_train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(sinks.feature_line(rows, decimals=6).alias("value"))
 
 
+@query
+def training_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files of documents, queries and judgements to a file of labelled rows, the way a ranker is prepared."""
+    path = scratch_path(spark, "training-file")
+    sinks.write_trectext(arena.competition(spark, sf_dir), f"{path}/documents")
+    epochs = arena.entries(spark, sf_dir).withColumn("docno", F.regexp_replace("docno", "^ROUND", "EPOCH"))
+    sinks.write_judgements(epochs, f"{path}/qrels", value="qrel")
+    sinks.write_queries(arena.queries_table(spark, sf_dir), f"{path}/queries")
+    read = trec.read_trectext(spark, f"{path}/documents")
+    docs = read.select("docno", *[c.alias(n) for n, c in ids.docno_parts(F.col("docno"), strict=True).items() if n != "author_id"], "text")
+    rows = features.ltr_features(
+        docs=docs,
+        queries=trec.read_queries(spark, f"{path}/queries").withColumn("query_id", ids.canonical_query_id(F.col("query_id"))),
+        scores=arena.embedding_scores(spark, sf_dir),
+        qrels=trec.read_qrels(spark, f"{path}/qrels"),
+    )
+    sinks.write_features(_rounded(rows, schema.FEATURE_COLUMNS), f"{path}/features", decimals=6)
+    return spark.read.text(f"{path}/features")
+
+
 @query
 def neural_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = features.normalise_scores(arena.embedding_scores(spark, sf_dir), scope_cols=ranking.FIELD)

@@ -516,3 +516,6 @@ WITH {_TOPIC_ROWS} SELECT topic_id, description, {_TOPIC_PROMPT} AS prompt FROM
 WITH {_TOPIC_ROWS} SELECT topic_id, {_TOPIC_PROMPT} AS prompt FROM topic_rows
 WHERE topic_id NOT IN (SELECT doc_id::VARCHAR FROM labels)""",
 }
+
+# The same rows, written to a file and read.
+SQL["training_file"] = SQL["ltr_train_rows"]
