@@ -55,13 +55,17 @@ def scope_stats(index: DataFrame, scope_cols: list[str]) -> DataFrame:
     )
 
 
-def term_stats(index: DataFrame, scope_cols: list[str]) -> DataFrame:
-    """Document frequency, occurrences and idf of each term of each scope."""
-    counted = (
+def term_counts(index: DataFrame, scope_cols: list[str]) -> DataFrame:
+    """Document frequency ``df`` and occurrences ``cf`` of each term of each scope."""
+    return (
         postings(index, scope_cols)
         .groupBy(*scope_cols, "term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     )
+
+
+def with_idf(counted: DataFrame, index: DataFrame, scope_cols: list[str]) -> DataFrame:
+    """``counted`` with the idf of each term among the documents of ``index``."""
     if scope_cols:
         counted = counted.join(scope_stats(index, scope_cols).select(*scope_cols, "n_docs"), scope_cols)
         n_docs = F.col("n_docs")
@@ -70,6 +74,11 @@ def term_stats(index: DataFrame, scope_cols: list[str]) -> DataFrame:
     return counted.select(*scope_cols, "term", "df", "cf", F.log(n_docs / F.col("df")).alias("idf"))
 
 
+def term_stats(index: DataFrame, scope_cols: list[str]) -> DataFrame:
+    """Document frequency, occurrences and idf of each term of each scope."""
+    return with_idf(term_counts(index, scope_cols), index, scope_cols)
+
+
 def query_terms(queries: DataFrame, *, stem: Stemmer | None = None) -> DataFrame:
     """``(query_id, qterms)`` with the distinct terms of each query."""
     words = tokens(F.col("query"))

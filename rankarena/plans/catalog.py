@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankarena import schema
 from rankarena.fixed_values import BOT_NAMES
 from rankarena.functions import ids, scores, text
-from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, terms, training
+from rankarena.operators import corpus, ensemble, features, neural, pairs, prompts, ranking, rounds, term_store, terms, training
 from rankarena.plans import competition as arena
 from rankarena.sources import map_files, quoted_csv, results, sinks, tables, trec
 from rankarena.sources.scratch import scratch_path, written
@@ -392,6 +392,16 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(terms.build_index(_docs(spark, sf_dir)).terms, ["idf"])
 
 
+@query
+def term_stats_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of an index to which rounds are added one after another."""
+    path, docs = scratch_path(spark, "term-store"), _docs(spark, sf_dir)
+    # Parts of the competition; each round has many documents.
+    for part in range(3):
+        term_store.add_round(docs.where(F.col("round_number") % 3 == part), path, part)
+    return _rounded(term_store.open_index(spark, path).terms, ["idf"])
+
+
 @query
 def scoped_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(terms.build_index(_docs(spark, sf_dir), scope_cols=ranking.FIELD).terms, ["idf"])

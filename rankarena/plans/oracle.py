@@ -519,3 +519,4 @@ WHERE topic_id NOT IN (SELECT doc_id::VARCHAR FROM labels)""",
 
 # The same rows, written to a file and read.
 SQL["training_file"] = SQL["ltr_train_rows"]
+SQL["term_stats_by_rounds"] = SQL["term_stats"]
