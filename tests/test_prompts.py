@@ -120,3 +120,11 @@ def test_initial_prompts_resume(spark):
     row = made.collect()
     assert [r.topic_id for r in row] == ["1"]
     assert "'a 'x'','b', 'c'" in row[0].prompt and "Scenario: I 'want'" in row[0].prompt and row[0].description == "say 'd'"
+
+
+def test_messages_are_made_before_they_are_repeated(spark):
+    made = prompts.history_prompts(history(spark, "NMABOT"), references(spark), bot_type="all", epoch=prompts.EVERY)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    told = [line.rsplit("[", 1)[1].split("#")[0] for line in plan.splitlines() if "Generate explode" in line]
+    # From the top: the opening's messages for each epoch; then the epochs of each message of a state.
+    assert told == ["m", "target", "target", "m"]
