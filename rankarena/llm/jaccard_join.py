@@ -53,8 +53,13 @@ HOT_SHINGLES = 1_000_000
 #: Classes that may have links are sent to all tasks up to this many (50 bytes each); more meet the texts in a shuffle.
 BROADCAST_ROWS = 500_000
 _COLUMNS = 4096
-_FLUSH = 1 << 21
-_BUCKET = 1 << 21
+#: Shingles that a task counts at a time, and those whose counts it remembers.
+_WAITING = 1 << 19
+_REMEMBERED = 1 << 20
+#: Bytes of text that are shingled at a time; some fifty times as many are held meanwhile.
+_PIECE = 1 << 18
+#: Signatures that a task holds before it sends them on, and that a group of them has about: some tens of megabytes while they are sorted.
+_SIGNATURES = 1 << 19
 
 # Fixed value: all bytes but the space and 09-0D belong to words.
 WORD_BYTES = np.ones(256, bool)
@@ -152,6 +157,15 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, sizes: Sizes, hot: np.ndar
     return np.concatenate(found), np.concatenate(owners)
 
 
+def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, in order."""
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return u[new], v[new]
+
+
 def _ties(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each key with its least node, and ties (node, least) of the other nodes of the key."""
     order = np.lexsort((nodes, keys))
@@ -159,8 +173,7 @@ def _ties(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
     least = nodes[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(keys) else nodes
     other = nodes != least
-    pairs = np.unique(np.column_stack((nodes[other], least[other])), axis=0)
-    return keys[first], nodes[first], pairs[:, 0], pairs[:, 1]
+    return keys[first], nodes[first], *_distinct(nodes[other], least[other])
 
 
 def _rows(**columns: np.ndarray | list[int]) -> pa.RecordBatch:
@@ -175,17 +188,25 @@ class _Seen:
 
     def add(self, keys: np.ndarray) -> None:
         self.waiting.append(keys)
-        if sum(map(len, self.waiting)) > _FLUSH:
+        if sum(map(len, self.waiting)) > _WAITING:
             self.merge()
 
     def merge(self) -> None:
         new, counts = np.unique(np.concatenate([self.keys[:0], *self.waiting]), return_counts=True)
-        keys, place = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
-        counts = np.bincount(place, np.concatenate((self.counts, counts)), len(keys)).astype(np.int64)
+        self.waiting = []
+        place = np.searchsorted(self.keys, new)
+        known = np.zeros(len(new), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == new[inside]
+        self.counts[place[known]] += counts[known]
+        self.keys = np.insert(self.keys, place[~known], new[~known])
+        self.counts = np.insert(self.counts, place[~known], counts[~known])
         least = 1
-        while (counts >= least).sum() > _FLUSH:
+        while (counts_kept := int((self.counts >= least).sum())) > _REMEMBERED:
             least += 1
-        self.keys, self.counts, self.waiting = keys[counts >= least], counts[counts >= least], []
+        if counts_kept < len(self.keys):
+            kept = self.counts >= least
+            self.keys, self.counts = self.keys[kept], self.counts[kept]
 
 
 def class_table(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -199,7 +220,7 @@ def class_table(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", _PIECE):
                 sets, offsets = shingle_sets(piece.column("text"), words)
                 size = np.diff(offsets)
                 seen.add(sets)
@@ -239,13 +260,14 @@ def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes,
             parts = [(k, unique[a:b].tobytes(), least[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             if len(u):
                 parts.append((-1 - int(u[0] % buckets), u.tobytes(), v.tobytes()))
-            for k, a, b in parts:
-                yield pa.RecordBatch.from_pydict({"bucket": [k], "a": [a], "b": [b]})
+            for start in range(0, len(parts), 64):
+                some = zip(*parts[start : start + 64])
+                yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "a", "b"), map(list, some))))
             keys.clear()
             nodes.clear()
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", _PIECE):
                 sets, offsets = shingle_sets(piece.column("text"), words)
                 cls = classes_of(sets, offsets)
                 once = np.zeros(len(cls), bool)
@@ -255,7 +277,7 @@ def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes,
                 key, row = signatures(chosen, np.concatenate(([0], np.cumsum(size))), sizes, hot_set.value)
                 keys.append(key)
                 nodes.append(cls[row])
-                if sum(map(len, keys)) >= _FLUSH:
+                if sum(map(len, keys)) >= _SIGNATURES:
                     yield from flush()
         if keys:
             yield from flush()
@@ -264,8 +286,8 @@ def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes,
         a = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")])
         b = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("b")])
         if table.column("bucket")[0].as_py() < 0:
-            pairs = np.unique(np.column_stack((a.view(np.int64), b)), axis=0)
-            return pa.Table.from_batches([_rows(u=pairs[:, 0], v=pairs[:, 1])])
+            u, v = _distinct(a.view(np.int64), b)
+            return pa.Table.from_batches([_rows(u=u, v=v)])
         *_, u, v = _ties(a, b)
         return pa.Table.from_batches([_rows(u=u, v=v)])
 
@@ -357,7 +379,7 @@ def jaccard_groups(
     members = table.where("n >= 0")
     total = members.agg(F.sum("n")).first()[0] or 0
     ties = candidate_ties(
-        docs, text_col=text_col, words=words, sizes=sizes, hot=hot_shingles(table), buckets=1 + int(total * 0.5) // _BUCKET
+        docs, text_col=text_col, words=words, sizes=sizes, hot=hot_shingles(table), buckets=1 + int(total * 0.5) // _SIGNATURES
     )
     ties = written(ties, "ties")
     near = written(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
@@ -398,7 +420,7 @@ def _bodies(docs: DataFrame, chosen: DataFrame, *, id_col: str, text_col: str, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", _PIECE):
                 sets, offsets = shingle_sets(piece.column("text"), words)
                 bodies = [sets[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 columns = [piece.column("comp"), piece.column("cls"), piece.column("blocks"), pa.array(bodies, pa.binary())]

@@ -332,3 +332,37 @@ def test_token_shards_hold_every_sequence_once(spark, tmp_path):
     assert all(found[i] == n for i, n in count.items() if i != token_shards.SEPARATOR)
     assert {i for r in rows for i in r["doc_ids"]} == set(range(len(texts)))
     assert token_shards.write_shards(frame(spark, texts).limit(0), path + "0", file=file).count() == 0
+
+
+def test_ties_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    keys, nodes = rng.integers(0, 1 << 18, jaccard_join._SIGNATURES).astype(np.uint64), rng.integers(-(1 << 62), 1 << 62, jaccard_join._SIGNATURES)
+    tracemalloc.start()
+    unique, least, u, v = jaccard_join._ties(keys, nodes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    smallest = {}
+    for k, n in zip(keys.tolist(), nodes.tolist()):
+        smallest[k] = min(n, smallest.get(k, n))
+    assert dict(zip(unique.tolist(), least.tolist())) == smallest
+    assert set(zip(u.tolist(), v.tolist())) == {(n, smallest[k]) for k, n in zip(keys.tolist(), nodes.tolist()) if n != smallest[k]}
+
+
+def test_counts_of_shingles_are_added_up_over_merges(monkeypatch):
+    from collections import Counter
+
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "_WAITING", 1000)
+    rng, seen, counts = np.random.default_rng(1), jaccard_join._Seen(), Counter()
+    for _ in range(40):
+        keys = rng.integers(0, 3000, 300).astype(np.uint64)
+        seen.add(keys)
+        counts.update(keys.tolist())
+    seen.merge()
+    assert dict(zip(seen.keys.tolist(), seen.counts.tolist())) == counts
