@@ -12,6 +12,7 @@ from rankarena.operators.features import ltr_features
 from rankarena.operators.neural import Scorer
 from rankarena.operators.ordinals import HOT_ROWS, with_ordinal
 from rankarena.operators.terms import TermIndex
+from rankarena.sources.scratch import written
 
 FIELD = ["query_id", "round_number"]
 EPOCH_FIELD = ["query_id", "epoch", "bot"]
@@ -105,7 +106,8 @@ def epoch_step(
     A model that asks for the neural feature needs ``load_scorer``, which scores candidates like all others.
     """
     accepted = candidates.where(within_word_limit(F.col("text")))
-    members = upsert_candidates(field, accepted)
+    # Written, as its texts are asked for several times: by the index, the scorer and the result.
+    members = written(upsert_candidates(field, accepted), "members")
     docs = members.withColumn("docno", internal_docno(F.col("author_id"))).drop("author_id")
     ranked = rank_fields(
         docs=docs, queries=queries, model=model, load_scorer=load_scorer, scope_cols=EPOCH_FIELD, hot_rows=hot_rows
