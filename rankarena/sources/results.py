@@ -8,7 +8,7 @@ whole batch has, by an anti join.
 import re
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankarena import schema
@@ -23,6 +23,10 @@ def _batch_path(path: str, batch: str) -> str:
     return f"{path.rstrip('/')}/batch={batch}"
 
 
+def _accepted(doc: Column) -> Column:
+    return F.coalesce(within_word_limit(doc), F.lit(False))
+
+
 def is_committed(path: str, batch: str) -> bool:
     store, root = fs.FileSystem.from_uri(_batch_path(path, batch))
     return store.get_file_info(f"{root}/{_DONE}").type == fs.FileType.File
@@ -32,7 +36,9 @@ def commit_batch(results: DataFrame, path: str, batch: str) -> bool:
     """Write ``topic_id`` and ``doc`` under the batch's identifier; False if it has been committed before."""
     if is_committed(path, batch):
         return False
-    results.select(F.col("topic_id").cast("string"), F.col("doc").cast("string")).write.mode("overwrite").parquet(_batch_path(path, batch))
+    rows = results.select(F.col("topic_id").cast("string"), F.col("doc").cast("string"))
+    # Words are counted once, here.
+    rows.withColumn("accepted", _accepted(F.col("doc"))).write.mode("overwrite").parquet(_batch_path(path, batch))
     return True
 
 
@@ -49,15 +55,17 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
     Of a topic that two batches have, the first batch by name counts. A null document isn't accepted.
     """
-    kinds = "topic_id string, doc string"
+    kinds = "topic_id string, doc string, accepted boolean"
     batches = committed_batches(path)
     if not batches:
         rows = spark.createDataFrame([], f"{kinds}, batch string")
     else:
         folders = [_batch_path(path, b) for b in batches]
         rows = spark.read.option("basePath", path).schema(f"{kinds}, batch string").parquet(*folders)
-    first = rows.groupBy("topic_id").agg(F.min(F.struct("batch", "doc")).alias("first")).select("topic_id", "first.doc", "first.batch")
-    return first.withColumn("accepted", F.coalesce(within_word_limit(F.col("doc")), F.lit(False)))
+    first = rows.groupBy("topic_id").agg(F.min(F.struct("batch", "doc", "accepted")).alias("first"))
+    # Batches that were committed without it are told apart here.
+    accepted = F.coalesce("first.accepted", _accepted(F.col("first.doc")))
+    return first.select("topic_id", "first.doc", "first.batch", accepted.alias("accepted"))
 
 
 def waiting_topics(topics: DataFrame, path: str) -> DataFrame:
