@@ -211,8 +211,8 @@ def epoch_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_map_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files for each field, and back."""
     path = scratch_path(spark, "maps")
-    map_files.write_epoch_map_files(arena.epoch_history(spark, sf_dir, bot_type="all"), path)
-    return map_files.read_epoch_map_lines(spark, path)
+    fields = map_files.write_epoch_map_files(arena.epoch_history(spark, sf_dir, bot_type="all"), path)
+    return map_files.read_epoch_map_lines(spark, path, fields=fields)
 
 
 @query
@@ -332,7 +332,8 @@ def dropped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("tops", lambda c: pairs.top_pairs(arena.asked_entries(spark, sf_dir), texts=arena.texts(spark, sf_dir), counts=c)),
     ):
         counts = Observation(name)
-        written(made(counts), f"pairs-{name}")
+        # The pairs are computed as a whole, and not kept.
+        made(counts).write.format("noop").mode("overwrite").save()
         told.append((name, counts.get["rows"], counts.get["without_other_text"]))
     return spark.createDataFrame(told, "pairs string, rows bigint, dropped bigint")
 

@@ -5,6 +5,7 @@ entry by entry, so a field may be larger than a task's memory. Files are written
 whole; a task that runs again replaces them. Reading takes lines, not files, so a large file is split over tasks.
 """
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,10 @@ from rankarena.sources.scratch import written
 
 KINDS = {"texts": "text", "rankings": "rank"}
 _FIELD = ["query_id", "epoch", "bot"]
+#: Entries of a field that one task reads; the files of a larger one are cut by lines.
+LARGE_ENTRIES = 100_000
+_FIELDS_IN_TASK = 1000
+_BATCH_CHARACTERS = 1 << 20
 _MANIFEST = "query_id string, epoch int, bot string, entries bigint, texts_file string, rankings_file string"
 _FILE = r"id_([^/]+)_ep_([0-9]+)_([^/_]+)_{kind}\.json$"
 
@@ -105,8 +110,57 @@ def _entries(lines: DataFrame, kind: str, value_type: str) -> DataFrame:
     )
 
 
-def read_epoch_map_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Epoch states from such files; a text without a rank has a null one, and the other way round."""
+def _read_fields(fields: DataFrame, path: str, tasks: int) -> DataFrame:
+    """The entries of ``fields``; both files of a field are read side by side, as they have the same authors in the same order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        rows: list[tuple] = []
+        held = 0
+
+        def lines(name: str) -> Iterator[str]:
+            with store.open_input_stream(f"{root}/{name}") as stream:
+                for line in io.TextIOWrapper(io.BufferedReader(stream), "utf-8", newline="\n"):
+                    if line not in ("{\n", "}\n"):
+                        yield line.rstrip("\n").removesuffix(",")
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, [*_FIELD, "author_id", "text", "rank"])
+
+        for batch in batches:
+            for field in batch.to_pylist():
+                for told, ranked in zip(lines(field["texts_file"]), lines(field["rankings_file"]), strict=True):
+                    ((author, text),) = json.loads(f"{{{told}}}").items()
+                    (rank,) = json.loads(f"{{{ranked}}}").values()
+                    rows.append((*(field[c] for c in _FIELD), author, text, rank))
+                    held += len(told)
+                    if held > _BATCH_CHARACTERS:
+                        yield flush()
+                        held = 0
+        if rows:
+            yield flush()
+
+    entries = "query_id string, epoch int, bot string, author_id string, text string, rank int"
+    return fields.repartition(tasks, *_FIELD).mapInArrow(run, entries).withColumn("query_id", canonical_query_id(F.col("query_id")))
+
+
+def read_epoch_map_lines(
+    spark: SparkSession, path: str | list[str], *, fields: DataFrame | None = None, large_entries: int = LARGE_ENTRIES
+) -> DataFrame:
+    """Epoch states from such files; a text without a rank has a null one, and the other way round.
+
+    ``fields`` is what :func:`write_epoch_map_files` returned for ``path``. With it no folder is listed, and tasks read the
+    files of many fields each; those of a field with more than ``large_entries`` entries are still cut by lines.
+    """
+    if fields is not None:
+        large = F.col("entries") > large_entries
+        tasks = max(spark.sparkContext.defaultParallelism, -(-fields.count() // _FIELDS_IN_TASK))
+        made = _read_fields(fields.where(~large), path, tasks)
+        names = [f"{path.rstrip('/')}/{name}" for r in fields.where(large).select("texts_file", "rankings_file").collect() for name in r]
+        return made.unionByName(read_epoch_map_lines(spark, names)) if names else made
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
     keys = [*_FIELD, "author_id"]
 

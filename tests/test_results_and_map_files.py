@@ -82,3 +82,24 @@ def test_a_killed_run_is_repeated_with_the_same_table(spark, tmp_path):
     assert sorted((r["topic_id"], r["doc"]) for r in given.collect()) == [("0", "zero"), ("1", None), ("2", "two"), ("3", "three"), ("4", None), ("5", None)]
     with pytest.raises(ValueError, match="name a batch"):
         results.commit_batch(batch("0"), path, "b/3")
+
+
+def test_words_are_counted_once_when_a_batch_is_committed(spark, tmp_path):
+    path = str(tmp_path / "results")
+    results.commit_batch(spark.createDataFrame([("0", "a"), ("1", "w " * 151), ("2", None)], "topic_id string, doc string"), path, "b2")
+    stored = spark.read.parquet(f"{path}/batch=b2")
+    assert rows(stored, "topic_id", "accepted") == [("0", True), ("1", False), ("2", False)]
+    # A batch from before has the texts only.
+    spark.createDataFrame([("0", "w " * 151), ("3", "b")], "topic_id string, doc string").write.parquet(f"{path}/batch=b1")
+    assert rows(results.read_results(spark, path), "topic_id", "batch", "accepted") == [("0", "b1", False), ("1", "b2", False), ("2", "b2", False), ("3", "b1", True)]
+
+
+@pytest.mark.parametrize("large_entries", [2, 100])
+def test_fields_are_read_without_listing_the_folder(spark, tmp_path, large_entries):
+    texts = ["plain", 'quo"te,', "line\nbreak\r", "é 日本 \u2028 \\", "}", "{", ", ", "", None]
+    given = [("002", 1, "B", f"a{k},", t, k + 1) for k, t in enumerate(texts)] + [("003", 2, "B", "x", "t", None)]
+    path = str(tmp_path / "maps")
+    fields = map_files.write_epoch_map_files(spark.createDataFrame(given, STATES), path)
+    (tmp_path / "maps" / "id_9_ep_9_B_texts.json").write_text('{\n"not": "written here"\n}\n')
+    back = map_files.read_epoch_map_lines(spark, path, fields=fields, large_entries=large_entries)
+    assert sorted(map(tuple, back.select(*schema.EPOCH_STATE.names).collect()), key=str) == sorted(given, key=str)
