@@ -31,7 +31,10 @@ def _with_texts(
     ``found`` has rows without text and the ``_other`` docno. Pairs are told apart by digests, on narrow rows; then the texts
     of those that are left meet them by docno, and both texts of a pair by their digests. So texts move twice at most.
     """
-    digests = texts.select("docno", F.sha2("text", 256).alias("_digest"))
+    def digest(text: str) -> Column:
+        return F.unhex(F.sha2(text, 256))
+
+    digests = texts.select("docno", digest("text").alias("_digest"))
     others = digests.select(F.col("docno").alias("_other"), F.col("_digest").alias("_other_digest"))
     met = found.join(digests, "docno").join(others, "_other")
     whole = F.struct(*found.columns)
@@ -43,7 +46,7 @@ def _with_texts(
     )
     asked = kept.select("*", F.explode(roles).alias("_ask")).select("_digest", "_other_digest", "_row", "_ask.*")
     # A docno that is there twice may have another text.
-    told = asked.join(texts.select("docno", "text"), "docno").where(F.sha2("text", 256).eqNullSafe(F.col("own")))
+    told = asked.join(texts.select("docno", "text"), "docno").where(digest("text").eqNullSafe(F.col("own")))
     both = told.groupBy("_digest", "_other_digest").agg(
         F.first("_row").alias("_row"), *[F.max(F.when(F.col("role") == role, F.col("text"))).alias(role) for role in ("text", "completion")]
     )

@@ -146,3 +146,12 @@ def test_corpus(spark):
     assert rows(corpus.field_texts(table, query_id="2", round_number=0), "text") == [("text ROUND-00-2-00",)]
     assert rows(corpus.reference_texts(table), "query_id", "docno") == [("002", names[0]), ("1955", names[2])]
     assert rows(corpus.participants(table)) == [("00", "002"), ("01", "1955")]
+
+
+def test_dropped_pairs_keeps_no_table(spark):
+    from pathlib import Path
+
+    from rankarena.plans import catalog
+
+    assert catalog.dropped_pairs(spark, "/root/testdata/sf0.001").count() == 3
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("pairs-*"))
