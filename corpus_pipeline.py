@@ -17,16 +17,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Rows of whole texts that go to a Python worker at a time. Each task holds such a batch on both sides, and some megabytes
 #: are enough for it; the usual 10,000 rows are ten times that.
 BATCH_ROWS = 1000
+#: Bytes that go to a Python worker at a time, where rows are long: texts, sets of shingles.
+BATCH_BYTES = 2 << 20
 #: Bytes of text that the quality stage scores together: half of what the operator takes by itself, as later stages share its memory.
 QUALITY_SHARD_BYTES = 8 << 20
 
 
 def with_small_batches(stage: Stage) -> Stage:
-    """``stage``, in a session that sends ``BATCH_ROWS`` rows to Python at a time (it stays so, as results are computed later)."""
+    """``stage``, in a session that sends ``BATCH_ROWS`` rows or ``BATCH_BYTES`` to Python at a time (it stays so, as results are computed later)."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
     return run_stage

@@ -15,6 +15,7 @@ out in blocks, and only blocks that can hold a link are formed.
    ``HOT_SHINGLES`` most frequent ones at most. Classes with a common signature are tied to the least of them, first
    within a task and then between tasks, so a signature that very many classes have is sent once a task. The components
    of these ties hold all links.
+   Components of several blocks are tied once more, with the shingles that several of their classes have as common ones.
 3. Each component is cut into blocks of bounded size, and each block's product is accumulated over blocks of columns;
    pairs that can't reach the overlap that their sizes ask for are discarded on the way. A component of several blocks
    first links within blocks, then between one class of each group found so far. Where several groups remain, the
@@ -28,12 +29,12 @@ words, or null, has no shingles, is linked with nothing and is its own component
 with the same identifier. A component's id is its smallest identifier; null identifiers are passed over there.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankarena.llm.batches import lean, lean_group, lower_ascii, mixed, pieces, span_hashes, text_bytes, word_spans
@@ -50,9 +51,12 @@ BLOCK_SHINGLES = 400_000
 HOT_IN_TASK = 3
 HOT_COUNT = 48
 HOT_SHINGLES = 1_000_000
+#: Within components of several blocks, where all shingles are counted, one is common if it is there so often.
+HOT_IN_LARGE = 8
 #: Classes that may have links are sent to all tasks up to this many (50 bytes each); more meet the texts in a shuffle.
 BROADCAST_ROWS = 500_000
-_COLUMNS = 4096
+#: Columns of a product that are held at a time.
+_COLUMNS = 2048
 #: Shingles that a task counts at a time, and those whose counts it remembers.
 _WAITING = 1 << 19
 _REMEMBERED = 1 << 20
@@ -208,6 +212,15 @@ class _Seen:
             kept = self.counts >= least
             self.keys, self.counts = self.keys[kept], self.counts[kept]
 
+    def often(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Shingles that were seen often, and how often, some at a time."""
+        self.merge()
+        often = self.counts >= HOT_IN_TASK
+        keys, counts = self.keys[often].view(np.int64), self.counts[often]
+        for start in range(0, len(keys), 1 << 17):
+            part = slice(start, start + (1 << 17))
+            yield keys[part], counts[part]
+
 
 def class_table(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, h, n, cls) for each row: a hash of its text, the size of its set and, if it has one, its class.
@@ -226,28 +239,61 @@ def class_table(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> D
                 seen.add(sets)
                 classes = pa.array(classes_of(sets, offsets), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("h"), pa.array(size), classes], names)
-        seen.merge()
-        often = seen.counts >= HOT_IN_TASK
-        keys, counts = seen.keys[often].view(np.int64), -seen.counts[often]
-        for start in range(0, len(keys), 1 << 17):
-            part = slice(start, start + (1 << 17))
-            none = pa.nulls(len(keys[part]), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(keys[part]), pa.array(counts[part]), none], names)
+        for keys, counts in seen.often():
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(keys), pa.array(-counts), none], names)
 
     return rows.mapInArrow(lean(run), "id bigint, h bigint, n bigint, cls bigint")
 
 
-def hot_shingles(table: DataFrame) -> np.ndarray:
+def hot_shingles(table: DataFrame, least: int = HOT_COUNT) -> np.ndarray:
     """The most frequent of the shingles that tasks have seen often; their number is bounded, so they can be sent around."""
-    counts = table.where("n < 0").groupBy("h").agg(F.sum(-F.col("n")).alias("count")).where(F.col("count") >= HOT_COUNT)
+    counts = table.where("n < 0").groupBy("h").agg(F.sum(-F.col("n")).alias("count")).where(F.col("count") >= least)
     top = counts.orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).select("h").toArrow()
     return np.sort(top.column("h").to_numpy().view(np.uint64))
 
 
-def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Edges (u, v) between classes; classes with a common signature are connected by them."""
+def text_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes, hot: np.ndarray, weight: int) -> DataFrame:
+    """Edges (u, v) between classes of texts; classes with a common signature are connected by them."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, None]]:
+        for piece in pieces(batch, "text", _PIECE):
+            sets, offsets = shingle_sets(piece.column("text"), words)
+            cls = classes_of(sets, offsets)
+            once = np.zeros(len(cls), bool)
+            once[np.unique(cls, return_index=True)[1]] = True
+            size = np.where(once, np.diff(offsets), 0)
+            yield sets[np.repeat(once, np.diff(offsets))], np.concatenate(([0], np.cumsum(size))), cls, None
+
+    texts = docs.select(F.col(text_col).alias("text")).where("text <> ''")
+    return _ties_of(texts, read, sizes=sizes, hot=hot, weight=weight)
+
+
+def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with a ``body``, some at a time, with their sets and where each starts."""
+    for piece in pieces(batch, "body", 4 * _PIECE):
+        data, offsets = text_bytes(piece.column("body"))
+        yield piece, data.view(np.uint64), offsets >> 3
+
+
+def set_ties(bodies: DataFrame, *, sizes: Sizes, hot: np.ndarray, weight: int) -> DataFrame:
+    """Edges (u, v) between classes of the same component (``comp``), as for texts."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for piece, sets, offsets in _sets_of(batch):
+            yield sets, offsets, piece.column("cls").to_numpy(), piece.column("comp").to_numpy()
+
+    return _ties_of(bodies.select("comp", "cls", "body"), read, sizes=sizes, hot=hot, weight=weight)
+
+
+def _ties_of(
+    rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple]], *, sizes: Sizes, hot: np.ndarray, weight: int
+) -> DataFrame:
+    """``read`` gives sets, where each starts, their classes, and what has to be equal for a tie, if anything; ``weight`` is the
+    number of shingles."""
     schema = "bucket bigint, a binary, b binary"
-    hot_set = docs.sparkSession.sparkContext.broadcast(hot)
+    hot_set = rows.sparkSession.sparkContext.broadcast(hot)
+    buckets = 1 + int(weight * 0.5) // _SIGNATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -267,15 +313,9 @@ def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes,
             nodes.clear()
 
         for batch in batches:
-            for piece in pieces(batch, "text", _PIECE):
-                sets, offsets = shingle_sets(piece.column("text"), words)
-                cls = classes_of(sets, offsets)
-                once = np.zeros(len(cls), bool)
-                once[np.unique(cls, return_index=True)[1]] = True
-                size = np.where(once, np.diff(offsets), 0)
-                chosen = sets[np.repeat(once, np.diff(offsets))]
-                key, row = signatures(chosen, np.concatenate(([0], np.cumsum(size))), sizes, hot_set.value)
-                keys.append(key)
+            for sets, offsets, cls, within in read(batch):
+                key, row = signatures(sets, offsets, sizes, hot_set.value)
+                keys.append(key if within is None else mixed(key ^ within[row].view(np.uint64)))
                 nodes.append(cls[row])
                 if sum(map(len, keys)) >= _SIGNATURES:
                     yield from flush()
@@ -291,8 +331,7 @@ def candidate_ties(docs: DataFrame, *, text_col: str, words: int, sizes: Sizes,
         *_, u, v = _ties(a, b)
         return pa.Table.from_batches([_rows(u=u, v=v)])
 
-    texts = docs.select(F.col(text_col).alias("text")).where("text <> ''")
-    return texts.mapInArrow(lean(run), schema).groupBy("bucket").applyInArrow(lean_group(tie), "u bigint, v bigint")
+    return rows.mapInArrow(lean(run), schema).groupBy("bucket").applyInArrow(lean_group(tie), "u bigint, v bigint")
 
 
 def linked(sets: list[np.ndarray], similarity: Fraction, left: np.ndarray | None = None) -> np.ndarray:
@@ -302,31 +341,39 @@ def linked(sets: list[np.ndarray], similarity: Fraction, left: np.ndarray | None
     """
     size = np.array([len(s) for s in sets], np.int64)
     n, d = similarity.numerator, similarity.denominator
-    both = size[:, None] + size[None, :]
-    # d * overlap >= n * (both - overlap)
-    need = -(-n * both // (n + d))
-    open_pairs = np.triu(np.minimum.outer(size, size) >= need, 1)
+    # All squares hold 32 bits an entry, and few are held at a time: a component's part has two thousand classes and more.
+    need = np.empty((len(sets), len(sets)), np.int32)
+    for k in range(len(sets)):
+        # d * overlap >= n * (both - overlap)
+        need[k] = -(-n * (size[k] + size) // (n + d))
+    rest = size.astype(np.int32)
+    open_pairs = np.triu(np.minimum.outer(rest, rest) >= need, 1)
     if left is not None:
         open_pairs &= left[:, None] | left[None, :]
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     column = np.cumsum(np.concatenate(([True], values[1:] != values[:-1]))) - 1
     shared = np.bincount(column)[column] > 1
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
-    overlap = np.zeros(both.shape, np.int64)
-    rest = np.bincount(owner, minlength=len(sets))
+    del values, order, shared
+    overlap = np.zeros(need.shape, np.int32)
+    rest = np.bincount(owner, minlength=len(sets)).astype(np.int32)
     start = 0
     while True:
-        open_pairs &= overlap + np.minimum.outer(rest, rest) >= need
+        reach = np.minimum.outer(rest, rest)
+        reach += overlap
+        open_pairs &= reach >= need
+        del reach
         if start == len(column) or not open_pairs.any():
             return open_pairs & (overlap >= need)
         stop = int(np.searchsorted(column, column[start] + _COLUMNS))
         incidence = np.zeros((len(sets), int(column[stop - 1] - column[start]) + 1), np.float32)
         incidence[owner[start:stop], column[start:stop] - column[start]] = 1
-        overlap += (incidence @ incidence.T).astype(np.int64)
-        rest = rest - np.bincount(owner[start:stop], minlength=len(sets))
+        # Products are whole numbers of up to _COLUMNS, so nothing is lost.
+        np.add(overlap, incidence @ incidence.T, out=overlap, casting="unsafe")
+        rest -= np.bincount(owner[start:stop], minlength=len(sets)).astype(np.int32)
         start = stop
 
 
@@ -360,7 +407,7 @@ def _block_links(rows: DataFrame, keys: list[str], similarity: Fraction) -> Data
         bodies = table.column("body")
         for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
             if len(part) > 1:
-                sets = [np.frombuffer(bodies[int(k)].as_py(), np.uint64) for k in part]
+                sets = [np.frombuffer(bodies[int(k)].as_buffer(), np.uint64) for k in part]
                 found = linked(sets, similarity, asks[part])
                 edges += [(cls[part[a]], cls[part[b]]) for a, b in spanning(found)]
         u, v = np.array(edges, np.int64).reshape(-1, 2).T
@@ -378,21 +425,17 @@ def jaccard_groups(
     table = written(class_table(docs, id_col=id_col, text_col=text_col, words=words), "classes")
     members = table.where("n >= 0")
     total = members.agg(F.sum("n")).first()[0] or 0
-    ties = candidate_ties(
-        docs, text_col=text_col, words=words, sizes=sizes, hot=hot_shingles(table), buckets=1 + int(total * 0.5) // _SIGNATURES
-    )
+    ties = text_ties(docs, text_col=text_col, words=words, sizes=sizes, hot=hot_shingles(table), weight=total)
     ties = written(ties, "ties")
     near = written(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
 
     # One row for each class that may have links, and how many blocks its component takes.
     one = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "h", "n")).alias("one"))
     chosen = near.join(one, "cls").select("comp", "cls", "one.*")
-    amount = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)
-    blocks = chosen.groupBy("comp").agg(F.ceil(amount).alias("blocks"))
-    chosen = written(chosen.join(blocks, "comp"), "chosen")
+    chosen = written(chosen.join(_blocks(chosen), "comp"), "chosen")
     weight, classes = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     wanted = F.broadcast(chosen) if classes <= BROADCAST_ROWS else chosen
-    bodies = written(_bodies(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets")
+    bodies = _divided(written(_bodies(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets"), sizes)
 
     # Small components share groups; a large one has groups of its own.
     large = F.col("blocks") > 1
@@ -401,7 +444,7 @@ def jaccard_groups(
     slot = F.when(large, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins)))
     dealt = bodies.select("comp", "cls", "body", F.lit(True).alias("asks"), own.alias("own"), slot.alias("slot"))
     links = written(_block_links(dealt, ["own", "slot"], similarity), "links")
-    if not chosen.where(large).isEmpty():
+    if not bodies.where(large).isEmpty():
         links = _across_blocks(bodies.where(large), links, similarity)
     roots = components(links).select(F.col("node").alias("cls"), "root")
 
@@ -412,6 +455,74 @@ def jaccard_groups(
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _size_of_body() -> Column:
+    return F.octet_length("body").cast("bigint") / 8
+
+
+def _blocks(classes: DataFrame) -> DataFrame:
+    """How many blocks each component takes, from its classes' sizes ``n``."""
+    amount = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)
+    return classes.groupBy("comp").agg(F.ceil(amount).alias("blocks"))
+
+
+def _shared(bodies: DataFrame, weight: int) -> DataFrame:
+    """(h, n): the shingles that ``HOT_IN_LARGE`` sets or more have, and -n, their number; ``weight`` is that of all sets."""
+    buckets = 1 + weight // _SIGNATURES
+    lowest = np.array([k * ((1 << 64) // buckets) for k in range(buckets)], np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            values = np.sort(np.concatenate(waiting))
+            waiting.clear()
+            cuts = np.append(np.searchsorted(values, lowest), len(values)).tolist()
+            parts = [(k, values[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            for start in range(0, len(parts), 64):
+                some = zip(*parts[start : start + 64])
+                yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "a"), map(list, some))))
+
+        for batch in batches:
+            for _, sets, _ in _sets_of(batch):
+                # Not a view: that would hold the whole batch.
+                waiting.append(sets.copy())
+                if sum(map(len, waiting)) >= _SIGNATURES:
+                    yield from flush()
+        if waiting:
+            yield from flush()
+
+    def count(table: pa.Table) -> pa.Table:
+        values = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")])
+        values, counts = np.unique(values, return_counts=True)
+        often = counts >= HOT_IN_LARGE
+        return pa.Table.from_batches([_rows(h=values[often].view(np.int64), n=-counts[often])])
+
+    dealt = bodies.select("body").mapInArrow(lean(deal), "bucket bigint, a binary")
+    return dealt.groupBy("bucket").applyInArrow(lean_group(count), "h bigint, n bigint")
+
+
+def _divided(bodies: DataFrame, sizes: Sizes) -> DataFrame:
+    """``bodies`` with the components of several blocks tied anew, until they don't get smaller.
+
+    The work on such a component grows with the square of its classes. Most often passages tie them that are in many texts, but in
+    too few of those of one task to have been seen there often. So the shingles of these components are all counted, and those
+    count as common now that are in several classes. Classes that aren't tied to any other are left out, as they have no links.
+    """
+    before = None
+    while True:
+        large = bodies.where("blocks > 1")
+        classes, weight = large.agg(F.count(F.lit(1)), F.coalesce(F.sum(_size_of_body()), F.lit(0))).first()
+        if not classes or (before is not None and classes >= before):
+            return bodies
+        before = classes
+        hot = hot_shingles(_shared(large, int(weight)), HOT_IN_LARGE)
+        ties = written(set_ties(large, sizes=sizes, hot=hot, weight=int(weight)), "ties")
+        near = written(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
+        placed = near.join(_blocks(near.join(large.select("cls", _size_of_body().alias("n")), "cls")), "comp")
+        anew = large.select("cls", "body").join(placed, "cls").select("comp", "cls", "blocks", "body")
+        bodies = bodies.where("blocks <= 1").unionByName(written(anew, "sets"))
+
+
 def _bodies(docs: DataFrame, chosen: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
     """``comp, cls, blocks, body``: the sorted set of each chosen class, from one of its rows."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -437,20 +548,26 @@ def _groups_so_far(bodies: DataFrame, links: DataFrame) -> DataFrame:
 
 def _across_blocks(bodies: DataFrame, links: DataFrame, similarity: Fraction) -> DataFrame:
     """The links of components of several blocks, added to those within blocks."""
-    heads = _groups_so_far(bodies, links).where("root = cls")
-    counts = heads.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).alias("parts"))
-    heads = heads.join(counts, "comp").select(
+    heads = _groups_so_far(bodies, links).where("root = cls").withColumn("n", _size_of_body())
+    parts = _blocks(heads).withColumnRenamed("blocks", "parts")
+    heads = heads.join(parts, "comp").select(
         "comp", "cls", "body", F.lit(True).alias("asks"), F.pmod(F.xxhash64("cls", F.lit("heads")), "parts").alias("slot")
     )
     links = written(links.unionByName(_block_links(heads, ["comp", "slot"], similarity)), "links")
 
-    grouped = written(_groups_so_far(bodies, links).select("comp", "cls", "blocks", "root"), "groups")
-    by_root = grouped.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = by_root.groupBy("comp").agg(F.max(F.struct("size", "root")).alias("largest"), F.sum("size").alias("all"))
-    largest = largest.select("comp", F.col("largest.root").alias("main"), (F.col("all") - F.col("largest.size")).alias("left"))
+    grouped = _groups_so_far(bodies, links).select("comp", "cls", "blocks", "root", _size_of_body().alias("n"))
+    grouped = written(grouped, "groups")
+    by_root = grouped.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    largest = by_root.groupBy("comp").agg(
+        F.max(F.struct("size", "root", "n")).alias("largest"), F.sum("size").alias("all"), F.sum("n").alias("weight")
+    )
+    largest = largest.select(
+        "comp", F.col("largest.root").alias("main"),
+        (F.col("all") - F.col("largest.size")).alias("left"), (F.col("weight") - F.col("largest.n")).alias("left_weight"),
+    )
     divided = grouped.join(largest.where("left > 0"), "comp").withColumn("asks", F.col("root") != F.col("main"))
-    # Blocks of the classes that ask by shares of their weight, as for the component as a whole.
-    parts = F.ceil(F.greatest(F.col("left") / BLOCK_CLASSES, F.lit(1)))
+    # Blocks of the classes that ask, by their number and weight; they may be larger than those they meet, as each is sent to all of these.
+    parts = F.ceil(F.greatest(F.col("left") / BLOCK_CLASSES, F.col("left_weight") / (2 * BLOCK_SHINGLES), F.lit(1)))
     divided = divided.select(
         "comp", "cls", "asks", parts.alias("parts"), "blocks",
         F.pmod(F.xxhash64("cls", F.lit("asking")), parts).alias("row_part"),

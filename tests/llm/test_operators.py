@@ -366,3 +366,47 @@ def test_counts_of_shingles_are_added_up_over_merges(monkeypatch):
         counts.update(keys.tolist())
     seen.merge()
     assert dict(zip(seen.keys.tolist(), seen.counts.tolist())) == counts
+
+
+def test_products_take_little_memory():
+    import tracemalloc
+    from fractions import Fraction
+
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 1 << 63, 360, dtype=np.uint64) for _ in range(12)]
+    sets = []
+    for _ in range(jaccard_join.BLOCK_CLASSES):
+        drop = rng.integers(0, 90)
+        sets.append(np.unique(np.concatenate((base[rng.integers(12)][drop:], rng.integers(0, 1 << 63, drop, dtype=np.uint64)))))
+    asks = rng.random(len(sets)) < 0.5
+    tracemalloc.start()
+    found = jaccard_join.linked(sets, Fraction(80, 100), asks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    plain = [set(s.tolist()) for s in sets[:200]]
+    for a in range(200):
+        for b in range(200):
+            both = len(plain[a] & plain[b])
+            assert found[a, b] == (a < b and (asks[a] or asks[b]) and 100 * both >= 80 * (len(plain[a]) + len(plain[b]) - both))
+    assert found.any() and not found.all()
+
+
+def test_passages_of_a_few_texts_make_no_large_components(spark, monkeypatch):
+    from fractions import Fraction
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 8)
+    rng = np.random.default_rng(3)
+    passages = [rng.integers(0, 1 << 63, 60, dtype=np.uint64) for _ in range(8)]
+    # Forty sets, each with two passages of ten sets each: all hang together, and none is like another but the last two.
+    sets = [np.concatenate((passages[k % 8], passages[(k + 1) % 8], rng.integers(0, 1 << 63, 400, dtype=np.uint64))) for k in range(40)]
+    sets.append(np.concatenate((sets[-1][:-2], rng.integers(0, 1 << 63, 2, dtype=np.uint64))))
+    rows = [(7, k, 6, bytearray(np.sort(s).tobytes())) for k, s in enumerate(sets)]
+    bodies = spark.createDataFrame(rows, "comp bigint, cls bigint, blocks bigint, body binary").repartition(5)
+    sizes = jaccard_join.Sizes(Fraction(80, 100))
+    before = jaccard_join.set_ties(bodies, sizes=sizes, hot=np.zeros(0, np.uint64), weight=21_000)
+    assert len({r["node"] for r in jaccard_join.components(before).collect()}) == 41
+    found = jaccard_join._divided(bodies, sizes).collect()
+    assert sorted(r["cls"] for r in found) == [39, 40]
+    assert {(r["comp"], r["blocks"]) for r in found} == {(39, 1)}
+    assert all(bytes(r["body"]) == np.sort(sets[r["cls"]]).tobytes() for r in found)

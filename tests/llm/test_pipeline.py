@@ -123,3 +123,17 @@ def test_sql_twins(spark, name):
     sql = duck.sql(catalog.SQL[name])
     found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").select(*sql.columns)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, sql.fetchall()))
+
+
+def test_batches_of_long_texts_are_small(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    stage = corpus_pipeline.with_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n bigint, bytes bigint"))
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('x', 200000) AS text").coalesce(1)
+    told = stage(spark, docs, "").collect()
+    assert sum(r["n"] for r in told) == 60
+    assert max(r["bytes"] for r in told) <= corpus_pipeline.BATCH_BYTES + 300_000
