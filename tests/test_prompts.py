@@ -128,3 +128,44 @@ def test_messages_are_made_before_they_are_repeated(spark):
     told = [line.rsplit("[", 1)[1].split("#")[0] for line in plan.splitlines() if "Generate explode" in line]
     # From the top: the opening's messages for each epoch; then the epochs of each message of a state.
     assert told == ["m", "target", "target", "m"]
+
+
+def test_states_of_all_bots_take_little_space(spark):
+    import glob
+    import os
+
+    from rankarena.plans.catalog import QUERIES
+
+    sf_dir, shared = "/root/testdata/sf0.001", spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(glob.glob(f"{shared}/states-*"))
+    made = QUERIES["history_prompts_every"](spark, sf_dir)
+    (path,) = set(glob.glob(f"{shared}/states-*")) - before
+    size = sum(os.path.getsize(f) for f in glob.glob(f"{path}/**", recursive=True) if os.path.isfile(f))
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    # Six bots have a state of each text.
+    assert size < 2 * text
+    assert {r["bot"] for r in made.select("bot").distinct().collect()} == {bot_name(kind, m) for kind in ("all", "tops", "self") for m in (False, True)}
+
+
+def test_all_bots_at_once_are_each_alone(spark):
+    bots = [(kind, markov) for kind in ("all", "tops", "self") for markov in (False, True)]
+    # The last bot has an epoch less than the others.
+    states = [history(spark, bot_name(*b)).where(F.col("epoch") < (3 if b != bots[-1] else 2)) for b in bots]
+    alone = [
+        prompts.history_prompts(s, references(spark), bot_type=kind, markov=markov, epoch=prompts.EVERY)
+        for s, (kind, markov) in zip(states, bots, strict=True)
+    ]
+    together = states[0]
+    for s in states[1:]:
+        together = together.unionByName(s)
+    columns = alone[0].columns
+    assert sorted(rows(prompts.all_prompts(together, references(spark)), *columns)) == sorted(r for a in alone for r in rows(a, *columns))
+
+
+def test_reference_texts_by_docno(spark):
+    from rankarena.operators import corpus
+    from rankarena.plans import competition as arena
+
+    sf_dir = "/root/testdata/sf0.001"
+    found = corpus.reference_texts(arena.asked_entries(spark, sf_dir), texts=arena.texts(spark, sf_dir))
+    assert rows(found) == rows(corpus.reference_texts(arena.competition(spark, sf_dir)))
