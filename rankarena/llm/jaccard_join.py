@@ -15,10 +15,10 @@ out in blocks, and only blocks that can hold a link are formed.
    ``HOT_SHINGLES`` most frequent ones at most. Classes with a common signature are tied to the least of them, first
    within a task and then between tasks, so a signature that very many classes have is sent once a task. The components
    of these ties hold all links.
-   Components of several blocks are tied once more, with the shingles that several of their classes have as common ones.
 3. Each component is cut into blocks of bounded size, and each block's product is accumulated over blocks of columns;
    pairs that can't reach the overlap that their sizes ask for are discarded on the way. A component of several blocks
-   first links within blocks, then between one class of each group found so far. Where several groups remain, the
+   first links within blocks. Its groups are then tied once more, with the shingles that several of its classes have as
+   common ones, and what is still tied links between one class of each group found so far. Where several groups remain, the
    classes outside of the largest are multiplied with all classes of the component, block by block. So no link is lost,
    and no list of pairs is ever made: blocks give a spanning tree of their links.
 4. The components of the links are the result.
@@ -277,13 +277,13 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray
 
 
 def set_ties(bodies: DataFrame, *, sizes: Sizes, hot: np.ndarray, weight: int) -> DataFrame:
-    """Edges (u, v) between classes of the same component (``comp``), as for texts."""
+    """Edges (u, v) between groups (``root``) of the same component (``comp``), as for texts."""
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for piece, sets, offsets in _sets_of(batch):
-            yield sets, offsets, piece.column("cls").to_numpy(), piece.column("comp").to_numpy()
+            yield sets, offsets, piece.column("root").to_numpy(), piece.column("comp").to_numpy()
 
-    return _ties_of(bodies.select("comp", "cls", "body"), read, sizes=sizes, hot=hot, weight=weight)
+    return _ties_of(bodies.select("comp", "root", "body"), read, sizes=sizes, hot=hot, weight=weight)
 
 
 def _ties_of(
@@ -435,7 +435,7 @@ def jaccard_groups(
     chosen = written(chosen.join(_blocks(chosen), "comp"), "chosen")
     weight, classes = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     wanted = F.broadcast(chosen) if classes <= BROADCAST_ROWS else chosen
-    bodies = _divided(written(_bodies(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets"), sizes)
+    bodies = written(_bodies(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets")
 
     # Small components share groups; a large one has groups of its own.
     large = F.col("blocks") > 1
@@ -444,8 +444,8 @@ def jaccard_groups(
     slot = F.when(large, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins)))
     dealt = bodies.select("comp", "cls", "body", F.lit(True).alias("asks"), own.alias("own"), slot.alias("slot"))
     links = written(_block_links(dealt, ["own", "slot"], similarity), "links")
-    if not bodies.where(large).isEmpty():
-        links = _across_blocks(bodies.where(large), links, similarity)
+    if not chosen.where(large).isEmpty():
+        links = _across_blocks(_divided(bodies.where(large), links, sizes), links, similarity)
     roots = components(links).select(F.col("node").alias("cls"), "root")
 
     whole = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -501,26 +501,22 @@ def _shared(bodies: DataFrame, weight: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(lean_group(count), "h bigint, n bigint")
 
 
-def _divided(bodies: DataFrame, sizes: Sizes) -> DataFrame:
-    """``bodies`` with the components of several blocks tied anew, until they don't get smaller.
+def _divided(bodies: DataFrame, links: DataFrame, sizes: Sizes) -> DataFrame:
+    """Classes of components of several blocks, in the smaller components that they make when tied anew.
 
     The work on such a component grows with the square of its classes. Most often passages tie them that are in many texts, but in
     too few of those of one task to have been seen there often. So the shingles of these components are all counted, and those
-    count as common now that are in several classes. Classes that aren't tied to any other are left out, as they have no links.
+    count as common now that are in several classes. Groups that ``links`` has are tied as one; those that aren't tied to any
+    other are left out, as they have no more links.
     """
-    before = None
-    while True:
-        large = bodies.where("blocks > 1")
-        classes, weight = large.agg(F.count(F.lit(1)), F.coalesce(F.sum(_size_of_body()), F.lit(0))).first()
-        if not classes or (before is not None and classes >= before):
-            return bodies
-        before = classes
-        hot = hot_shingles(_shared(large, int(weight)), HOT_IN_LARGE)
-        ties = written(set_ties(large, sizes=sizes, hot=hot, weight=int(weight)), "ties")
-        near = written(components(ties).select(F.col("node").alias("cls"), F.col("root").alias("comp")), "near")
-        placed = near.join(_blocks(near.join(large.select("cls", _size_of_body().alias("n")), "cls")), "comp")
-        anew = large.select("cls", "body").join(placed, "cls").select("comp", "cls", "blocks", "body")
-        bodies = bodies.where("blocks <= 1").unionByName(written(anew, "sets"))
+    weight = bodies.agg(F.coalesce(F.sum(_size_of_body()), F.lit(0))).first()[0]
+    hot = hot_shingles(_shared(bodies, int(weight)), HOT_IN_LARGE)
+    roots = written(_groups_so_far(bodies, links).select("cls", "root", _size_of_body().alias("n")), "roots")
+    ties = written(set_ties(bodies.join(roots, "cls"), sizes=sizes, hot=hot, weight=int(weight)), "ties")
+    near = components(ties).select(F.col("node").alias("root"), F.col("root").alias("comp"))
+    tied = written(roots.join(near, "root").select("comp", "cls", "n"), "near")
+    placed = tied.join(_blocks(tied), "comp").select("comp", "cls", "blocks")
+    return written(bodies.select("cls", "body").join(placed, "cls").select("comp", "cls", "blocks", "body"), "sets")
 
 
 def _bodies(docs: DataFrame, chosen: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:

@@ -404,9 +404,11 @@ def test_passages_of_a_few_texts_make_no_large_components(spark, monkeypatch):
     rows = [(7, k, 6, bytearray(np.sort(s).tobytes())) for k, s in enumerate(sets)]
     bodies = spark.createDataFrame(rows, "comp bigint, cls bigint, blocks bigint, body binary").repartition(5)
     sizes = jaccard_join.Sizes(Fraction(80, 100))
-    before = jaccard_join.set_ties(bodies, sizes=sizes, hot=np.zeros(0, np.uint64), weight=21_000)
+    before = jaccard_join.set_ties(bodies.withColumn("root", bodies["cls"]), sizes=sizes, hot=np.zeros(0, np.uint64), weight=21_000)
     assert len({r["node"] for r in jaccard_join.components(before).collect()}) == 41
-    found = jaccard_join._divided(bodies, sizes).collect()
+    none = spark.createDataFrame([], "u bigint, v bigint")
+    assert jaccard_join._divided(bodies, spark.createDataFrame([(40, 39)], "u bigint, v bigint"), sizes).count() == 0
+    found = jaccard_join._divided(bodies, none, sizes).collect()
     assert sorted(r["cls"] for r in found) == [39, 40]
     assert {(r["comp"], r["blocks"]) for r in found} == {(39, 1)}
     assert all(bytes(r["body"]) == np.sort(sets[r["cls"]]).tobytes() for r in found)
